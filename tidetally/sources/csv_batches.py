@@ -16,6 +16,8 @@ _NUMBER = r"(?:batch_no|sample_date)=(\d+)"
 # The path up to the batch's own file or folder.
 _ROOT = rf"^(.*{_NUMBER}[^/]*)"
 
+_FILE = "path string, length bigint"
+
 # Files up to this size go to one task anyway; larger ones are split when that is safe.
 SPLIT_OVER = 128 * 1024 * 1024
 
@@ -41,19 +43,23 @@ def manifest_of(files: DataFrame, by_file: bool = False) -> DataFrame:
 
 
 def list_batches(spark: SparkSession, landing: str) -> DataFrame:
-    """Manifest of the landing folder. Reads no content."""
+    """Manifest of the landing folder. Reads no content.
+
+    The scan passes over files of zero bytes; they come from the file listing,
+    because a batch that landed empty is not a missing one.
+    """
     try:
         files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(landing)
-            .select("path", "length")
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
         )
+        names = [(name, 0) for name in files.inputFiles()]
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.createDataFrame([], "path string, length bigint")
-    return manifest_of(files)
+        return manifest_of(spark.createDataFrame([], _FILE))
+    sized = manifest_of(files.select("path", "length"))
+    named = manifest_of(spark.createDataFrame(names, _FILE))
+    return sized.unionByName(named.join(sized, "batch_no", "left_anti"))
 
 
 def has_quoted_newlines(spark: SparkSession, root: str) -> bool:

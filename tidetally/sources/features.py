@@ -34,14 +34,16 @@ def scan_features(spark: SparkSession, path: str, one_per_line: bool = False) ->
 def feature_lines(features: DataFrame) -> DataFrame:
     """Each feature as a collection of one, one JSON text per row.
 
-    The geometry already is JSON text and is placed in as it stands.
+    The geometry already is JSON text and is placed in as it stands, but for
+    the line breaks of an indented file (inside JSON texts there are none).
     """
+    geometry = F.regexp_replace("geometry", r"[\r\n]\s*", "")
     properties = F.to_json("properties", {"ignoreNullFields": "false"})
     line = F.concat(
         F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":'),
         properties,
         F.lit(',"geometry":'),
-        F.coalesce("geometry", F.lit("null")),
+        F.coalesce(geometry, F.lit("null")),
         F.lit("}]}"),
     )
     return features.select(line.alias("value"))
@@ -60,7 +62,7 @@ def scan_custom_areas(
     spark: SparkSession, path: str, one_per_line: bool = False
 ) -> DataFrame:
     """Custom areas from JSON objects of features by name: one per file, or one per line."""
-    text = spark.read.option("wholetext", str(not one_per_line).lower()).text(path)
+    text = spark.read.text(path, wholetext=not one_per_line)
     return text.select(F.explode(F.from_json("value", _NAMED)).alias("name", "feature")).select(
         "name",
         F.col("feature.properties.description").alias("description"),
