@@ -5,7 +5,7 @@ from helpers import records
 
 from tidetally.operators import aggregates, options, series
 from tidetally.operators.filters import FilterSpec
-from tidetally.plans.dashboard import Dashboard
+from tidetally.plans.dashboard import dashboard
 from tidetally.plans.report import collection_report
 from tidetally.schema import SALMON
 
@@ -117,16 +117,16 @@ def test_dashboard_equals_the_single_queries(spark, unit):
         ],
     )
     spec = FilterSpec(year_end="2014", species=("chinook", "lingcod"), time_unit=unit)
-    with Dashboard(df, spec) as page:
-        singles = {
-            "stats": aggregates.stats,
-            "trend": aggregates.trend,
-            "species": aggregates.species,
-            "areas": aggregates.areas,
-            "monthly": aggregates.monthly,
-            "map_data": aggregates.map_data,
-        }
-        for name, single in singles.items():
-            alone = single(df, spec)
-            assert page[name].columns == alone.columns
-            assert sorted(rows(page[name]), key=repr) == sorted(rows(alone), key=repr), name
+    page = dashboard(df, spec)
+    singles = {
+        "stats": aggregates.stats,
+        "trend": aggregates.trend,
+        "species": aggregates.species,
+        "areas": aggregates.areas,
+        "monthly": aggregates.monthly,
+        "map_data": aggregates.map_data,
+    }
+    for name, single in singles.items():
+        alone = single(df, spec)
+        assert page[name].columns == alone.columns
+        assert sorted(rows(page[name]), key=repr) == sorted(rows(alone), key=repr), name

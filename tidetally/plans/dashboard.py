@@ -2,7 +2,7 @@
 
 All six group by date or area. The filtered records are folded once to one row
 per date text and area; that fold is some hundred thousand rows whatever the
-size of the table, and every result is a fold of it.
+size of the table. It is kept as a table and every result is a fold of it.
 """
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from tidetally.functions.measures import coalesce_zero, species_sum, species_sum
 from tidetally.operators.aggregates import dense_months, headline
 from tidetally.operators.filters import FilterSpec, filtered_records
 from tidetally.schema import SALMON
+from tidetally.session import keep
 
 
 def page_fold(df: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -64,25 +65,16 @@ def page_results(fold: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
     }
 
 
-class Dashboard:
-    """Results of one page; use as a context manager to let go of the kept fold."""
-
-    def __init__(self, df: DataFrame, spec: FilterSpec | None = None):
-        spec = spec or FilterSpec()
-        self._fold = page_fold(df, spec).persist()
-        self.results = page_results(self._fold, spec)
-
-    def __enter__(self) -> dict[str, DataFrame]:
-        return self.results
-
-    def __exit__(self, *_) -> None:
-        self._fold.unpersist()
+def dashboard(df: DataFrame, spec: FilterSpec | None = None) -> dict[str, DataFrame]:
+    """Headline figures, trend, species, areas, months and map data under one filter."""
+    spec = spec or FilterSpec()
+    return page_results(keep(page_fold(df, spec), "page"), spec)
 
 
 def page_long(df: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """The page as one frame: section, key, measure, value."""
     spec = spec or FilterSpec()
-    results = page_results(page_fold(df, spec), spec)
+    results = dashboard(df, spec)
     stats = results["stats"]
     figures = [name for name in stats.columns if name not in ("min_year", "max_year")]
     keys = {

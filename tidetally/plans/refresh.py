@@ -111,7 +111,8 @@ def stage_load(
         "overwrite"
     ).parquet(marked)
     classified = spark.read.parquet(marked)
-    outcomes = batch_outcomes(classified)
+    batch_outcomes(classified).write.mode("overwrite").parquet(f"{stage}/outcomes")
+    outcomes = spark.read.parquet(f"{stage}/outcomes")
     load = Load(stage, stop_on_all_duplicates(classified, outcomes, over), outcomes)
 
     changed = _years(load.kept.where("status <> 'duplicate'"))

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidetally.functions.cleaning import data_hash
+from tidetally.functions.labels import month_name
 from tidetally.operators.ingest import project_record
+from tidetally.session import keep
 
-DATE = "MMM d, yyyy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def date_words(day: Column) -> Column:
+    """A date as sample dates are written: ``Apr 1, 2013``."""
+    return _text(month_name(F.month(day)), " ", F.dayofmonth(day), ", ", F.year(day))
+
+
 def creel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey records from ``lineitem``."""
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
@@ -37,7 +43,7 @@ def creel(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .select(
             F.when(part % 97 == 0, "")
-            .otherwise(F.date_format(ship.cast("date"), DATE))
+            .otherwise(date_words(ship.cast("date")))
             .alias("sample_date"),
             _text("Ramp ", supp % 23).alias("ramp_site"),
             F.when(part % 11 == 0, "")
@@ -81,7 +87,7 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(2002) - F.year(day)).cast("int").alias("batch_no"),
         F.lit("").alias("part"),
         order.alias("seq"),
-        F.date_format(F.trunc(day, "month"), DATE).alias("Sample date"),
+        date_words(F.trunc(day, "month")).alias("Sample date"),
         _text("Ramp ", cust % 4).alias("Ramp/site"),
         F.when(zone == 0, "N/A")
         .when(zone == 1, "")
@@ -98,7 +104,8 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project_record(raw_batches(spark, sf_dir))
+    """The typed rows, staged as a load stages them."""
+    return keep(project_record(raw_batches(spark, sf_dir)), "typed")
 
 
 def raw_with_stop(spark: SparkSession, sf_dir: str) -> DataFrame:

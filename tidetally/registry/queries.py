@@ -10,11 +10,12 @@ from tidetally.functions import cleaning, dates, labels, measures
 from tidetally.operators import aggregates, areas, duplicates, filters, ingest, options, series
 from tidetally.operators.filters import FilterSpec
 from tidetally.plans.dashboard import page_long
+from tidetally.plans.map_page import map_page
 from tidetally.plans.refresh import Paths, refresh, refresh_due
 from tidetally.plans.report import report_long
 from tidetally.registry import fixtures as fx
 from tidetally.schema import KEY, SPECIES, VALUES
-from tidetally.session import scratch_path
+from tidetally.session import keep, scratch_path
 from tidetally.sources import csv_batches, export, features, run_log, snapshots, store
 from tidetally.streaming.landing import stream_refresh
 
@@ -393,7 +394,7 @@ def rounding(spark, sf_dir):
 
 @query("intensity")
 def intensity(spark, sf_dir):
-    totals = aggregates.map_data(fx.creel(spark, sf_dir))
+    totals = keep(aggregates.map_data(fx.creel(spark, sf_dir)), "totals")
     return areas.with_intensity(totals, totals)
 
 
@@ -490,9 +491,8 @@ def canonical_areas(spark, sf_dir):
 @query("area_match")
 def area_match(spark, sf_dir):
     """Totals of a few areas only, so that all four steps find something."""
-    totals = aggregates.map_data(
-        fx.creel(spark, sf_dir), FilterSpec(catch_area=(*PICKED, "Area 1, Zone 1"))
-    )
+    spec = FilterSpec(catch_area=(*PICKED, "Area 1, Zone 1"))
+    totals = keep(aggregates.map_data(fx.creel(spark, sf_dir), spec), "totals")
     return areas.area_match(
         fx.area_features(spark, sf_dir), totals, _canonical(spark, sf_dir)
     ).drop("geometry")
@@ -655,12 +655,13 @@ def filter_options(spark, sf_dir):
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.upsert_classify(fx.records(spark, sf_dir))
+    """Staged like the typed rows."""
+    return keep(ingest.upsert_classify(fx.records(spark, sf_dir)), "classified")
 
 
 @query("upsert_classify")
 def upsert_classify(spark, sf_dir):
-    return _classified(spark, sf_dir).drop("part")
+    return ingest.upsert_classify(fx.records(spark, sf_dir)).drop("part")
 
 
 @query("upsert_classify_hot")
@@ -703,19 +704,18 @@ def batch_outcomes(spark, sf_dir):
 
 @query("stop_on_all_duplicates")
 def stop_on_all_duplicates(spark, sf_dir):
-    raw = fx.raw_with_stop(spark, sf_dir)
-    outcomes = ingest.batch_outcomes(ingest.upsert_classify(ingest.project_record(raw)))
+    rows = keep(ingest.project_record(fx.raw_with_stop(spark, sf_dir)), "typed")
+    outcomes = keep(ingest.batch_outcomes(ingest.upsert_classify(rows)), "outcomes")
     return ingest.stop_on_all_duplicates(outcomes, outcomes, over=10)
 
 
 @query("run_totals")
 def run_totals(spark, sf_dir):
-    raw = fx.raw_with_stop(spark, sf_dir)
-    rows = ingest.project_record(raw)
-    outcomes = ingest.batch_outcomes(ingest.upsert_classify(rows))
+    rows = keep(ingest.project_record(fx.raw_with_stop(spark, sf_dir)), "typed")
+    outcomes = keep(ingest.batch_outcomes(ingest.upsert_classify(rows)), "outcomes")
     kept = ingest.stop_on_all_duplicates(rows, outcomes, over=10)
     state = ingest.upsert_latest(kept, run_at=RUN_AT)
-    return ingest.run_totals(outcomes, raw.select("batch_no"), state, over=10)
+    return ingest.run_totals(outcomes, rows.select("batch_no"), state, over=10)
 
 
 @query("stop_on_gap")
@@ -736,12 +736,12 @@ def seq_in_batch(spark, sf_dir):
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.inspect_duplicates(fx.records(spark, sf_dir))
+    return keep(duplicates.inspect_duplicates(fx.records(spark, sf_dir)), "repeats")
 
 
 @query("inspect_duplicates")
 def inspect_duplicates(spark, sf_dir):
-    return _repeats(spark, sf_dir)
+    return duplicates.inspect_duplicates(fx.records(spark, sf_dir))
 
 
 @query("inspect_duplicates_hot")
@@ -787,14 +787,12 @@ def feature_stats(spark, sf_dir):
 
 @query("choropleth")
 def choropleth(spark, sf_dir):
-    df = fx.creel(spark, sf_dir)
-    totals = aggregates.map_data(df, YEARS)
-    return areas.choropleth(
+    spec = FilterSpec("1997", "1999", PICKED)
+    return map_page(
+        fx.creel(spark, sf_dir),
         fx.area_features(spark, sf_dir),
         fx.nation_customs(spark, sf_dir),
-        totals,
-        _canonical(spark, sf_dir),
-        PICKED,
+        spec,
     ).drop("geometry")
 
 

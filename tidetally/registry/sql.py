@@ -661,7 +661,7 @@ of_creel(
       SELECT true, NULL, NULL, NULL, n_name, n_name, coalesce(total, 0), coalesce(surveys, 0)
       FROM nation LEFT JOIN totals ON area = n_name)""",
     f"""totals AS (SELECT catch_area AS area, coalesce(sum({SUM5}), 0) AS total, count(*) AS surveys
-      FROM creel WHERE catch_area <> '' AND {YEARS} GROUP BY catch_area)""",
+      FROM creel WHERE catch_area IN {PICKED} AND {YEARS} GROUP BY catch_area)""",
     CANONICAL,
     FEATURES,
     MATCHED,
