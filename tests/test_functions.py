@@ -39,7 +39,7 @@ NUMBERS = (
 def test_lenient_casts(spark):
     assert mapped(spark, NUMBERS, cleaning.safe_float) == [as_float(t) for t in NUMBERS]
     assert mapped(spark, NUMBERS, cleaning.safe_int) == [as_int(t) for t in NUMBERS]
-    assert all(str(v) == "nan" for v in mapped(spark, ["nan", "-NaN"], cleaning.safe_float))
+    assert all(str(v) == "nan" for v in mapped(spark, ["nan", " NaN "], cleaning.safe_float))
 
 
 def test_int_beyond_bigint_is_null(spark):

@@ -11,35 +11,37 @@ BLANKS = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+_AROUND = rf"[{BLANKS}]*"
 _DIGITS = r"\d+(?:_\d+)*"
-INT_TEXT = rf"^[+-]?{_DIGITS}$"
+INT_TEXT = rf"^{_AROUND}[+-]?{_DIGITS}{_AROUND}$"
 FLOAT_TEXT = (
-    rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-    r"|^[+-]?(?i:inf|infinity)$"
+    rf"^{_AROUND}(?:"
+    rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    rf"|[+-]?(?i:inf|infinity)|(?i:nan)){_AROUND}$"
 )
-NAN_TEXT = r"^[+-]?(?i:nan)$"
 
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def _bare(text: Column) -> Column:
+    """Number text without blanks and digit separators (none are left inside it)."""
+    return F.translate(text, "_" + BLANKS, "")
+
+
 def safe_float(text: Column) -> Column:
     """A double, or NULL where the text is blank or no number.
 
     The pattern keeps out what Spark's cast would take but the survey rules
     do not (``1.5f``, hexadecimal floats).
     """
-    bare = strip(text)
-    return F.when(
-        bare.rlike(FLOAT_TEXT), F.regexp_replace(bare, "_", "").try_cast("double")
-    ).when(bare.rlike(NAN_TEXT), F.lit(float("nan")))
+    return F.when(text.rlike(FLOAT_TEXT), _bare(text).try_cast("double"))
 
 
 def safe_int(text: Column) -> Column:
     """A bigint, or NULL where the text is blank or no whole number (``3.0`` is none)."""
-    bare = strip(text)
-    return F.when(bare.rlike(INT_TEXT), F.regexp_replace(bare, "_", "").try_cast("bigint"))
+    return F.when(text.rlike(INT_TEXT), _bare(text).try_cast("bigint"))
 
 
 def normalize_area(text: Column) -> Column:

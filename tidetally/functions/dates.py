@@ -4,7 +4,7 @@ They are string functions on purpose: a date parser would lose texts such as
 ``Feb 30, 2020`` that have a day key and a week key all the same.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidetally.schema import MONTHS, OTHER_YEAR
@@ -25,15 +25,18 @@ def survey_year(sample_date: Column) -> Column:
     return F.when(year.rlike(r"^\d{4}$"), year).otherwise(OTHER_YEAR)
 
 
+def _of_month(sample_date: Column, values: list[int] | list[str]) -> Column:
+    pairs = [F.lit(item) for pair in zip(MONTHS, values, strict=True) for item in pair]
+    return F.try_element_at(F.create_map(*pairs), F.substring(sample_date, 1, 3))
+
+
 def month_no(sample_date: Column) -> Column:
     """1 to 12 by the case-sensitive three-letter prefix, else NULL."""
-    prefix = F.substring(sample_date, 1, 3)
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), prefix).cast("int")
-    return F.when(number > 0, number)
+    return _of_month(sample_date, list(range(1, 13)))
 
 
 def month_text(sample_date: Column) -> Column:
-    return F.lpad(month_no(sample_date).cast("string"), 2, "0")
+    return _of_month(sample_date, [f"{number:02d}" for number in range(1, 13)])
 
 
 def day_text(sample_date: Column) -> Column:
@@ -58,28 +61,31 @@ def date_text(sample_date: Column) -> Column:
     )
 
 
-def week_key(day: Column) -> Column:
-    """``YYYY-Wnn`` with Monday weeks, week 00 before the first Monday.
-
-    A day past the end of its month runs on into the next one.
-    """
+def calendar_date(day: Column) -> Column:
+    """The date of a ``YYYY-MM-DD`` text; a day past the end of its month runs on."""
     first = F.make_date(
-        F.substring(day, 1, 4).try_cast("int"),
-        F.substring(day, 6, 2).try_cast("int"),
-        F.lit(1),
+        F.substring(day, 1, 4).try_cast("int"), F.substring(day, 6, 2).try_cast("int"), F.lit(1)
     )
-    date = F.date_add(first, F.substring(day, 9, 2).try_cast("int") - 1)
-    week = F.floor((F.dayofyear(date) + 6 - F.weekday(date)) / 7)
     return F.when(
-        day.rlike(_DAY_OF_A_MONTH),
-        F.concat(
-            F.lpad(F.year(date).cast("string"), 4, "0"),
-            F.lit("-W"),
-            F.lpad(week.cast("string"), 2, "0"),
-        ),
+        day.rlike(_DAY_OF_A_MONTH), F.date_add(first, F.substring(day, 9, 2).try_cast("int") - 1)
+    )
+
+
+def week_of(date: Column) -> Column:
+    """``YYYY-Wnn`` with Monday weeks, week 00 before the first Monday."""
+    week = F.floor((F.dayofyear(date) + 6 - F.weekday(date)) / 7)
+    return F.concat(
+        F.lpad(F.year(date).cast("string"), 4, "0"),
+        F.lit("-W"),
+        F.lpad(week.cast("string"), 2, "0"),
     )
 
 
+def week_key(day: Column) -> Column:
+    """The week of a ``YYYY-MM-DD`` text, NULL where it names no day."""
+    return week_of(calendar_date(day))
+
+
 def period_key(sample_date: Column, time_unit: str | None = "yearly") -> Column:
     """Group key of a trend; anything but daily, weekly or monthly means yearly."""
     match time_unit:
@@ -93,6 +99,23 @@ def period_key(sample_date: Column, time_unit: str | None = "yearly") -> Column:
             return year_of(sample_date)
 
 
+def with_period(df: DataFrame, time_unit: str | None) -> DataFrame:
+    """Adds ``period`` from ``sample_date``.
+
+    The weekly key uses its intermediate values several times, so they get
+    columns of their own instead of being worked out at every use.
+    """
+    sample_date = F.col("sample_date")
+    if time_unit != "weekly":
+        return df.withColumn("period", period_key(sample_date, time_unit))
+    return (
+        df.withColumn("day", date_text(sample_date))
+        .withColumn("date", calendar_date(F.col("day")))
+        .withColumn("period", week_of(F.col("date")))
+        .drop("day", "date")
+    )
+
+
 def _month_week(year: Column, date: Column) -> Column:
     return F.concat(
         year,

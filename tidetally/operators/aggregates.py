@@ -9,7 +9,7 @@ distinct date instead of once per row.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidetally.functions.dates import month_no, period_key, year_of
+from tidetally.functions.dates import month_no, with_period, year_of
 from tidetally.functions.measures import (
     coalesce_zero,
     round_half_even,
@@ -126,7 +126,8 @@ def trend(df: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
         filter_date_present(filtered_records(df, spec)), species_sums(spec.species_names)
     )
     return (
-        by_date.groupBy(period_key(F.col("sample_date"), spec.time_unit).alias("period"))
+        with_period(by_date, spec.time_unit)
+        .groupBy("period")
         .agg(*species_sums(spec.species_names))
         .orderBy("period")
     )

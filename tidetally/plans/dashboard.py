@@ -8,9 +8,9 @@ size of the table. It is kept as a table and every result is a fold of it.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetally.functions.dates import month_no, period_key, year_of
+from tidetally.functions.dates import month_no, with_period, year_of
 from tidetally.functions.measures import coalesce_zero, species_sum, species_sums
-from tidetally.operators.aggregates import dense_months, headline
+from tidetally.operators.aggregates import dense_months, fold_by_date, headline
 from tidetally.operators.filters import FilterSpec, filtered_records
 from tidetally.schema import SALMON
 from tidetally.session import keep
@@ -36,8 +36,9 @@ def page_results(fold: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
     year = year_of(F.col("sample_date"))
     names = spec.species_names
     present = fold.where("catch_area <> ''").groupBy(F.col("catch_area").alias("area"))
-    dated = fold.where("length(sample_date) > 0")
-    months = fold.withColumn("month", month_no(F.col("sample_date"))).where("month IS NOT NULL")
+    dated = fold_by_date(fold.where("length(sample_date) > 0"), species_sums(names))
+    by_date = fold_by_date(fold, [F.sum("total").alias("total")])
+    months = by_date.withColumn("month", month_no(F.col("sample_date"))).where("month IS NOT NULL")
     return {
         "stats": headline(
             fold.agg(
@@ -51,7 +52,8 @@ def page_results(fold: DataFrame, spec: FilterSpec) -> dict[str, DataFrame]:
                 ),
             )
         ),
-        "trend": dated.groupBy(period_key(F.col("sample_date"), spec.time_unit).alias("period"))
+        "trend": with_period(dated, spec.time_unit)
+        .groupBy("period")
         .agg(*species_sums(names))
         .orderBy("period"),
         "species": fold.agg(*[coalesce_zero(F.sum(name)).alias(name) for name in names]),

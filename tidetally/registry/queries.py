@@ -256,7 +256,7 @@ def project_record(spark, sf_dir):
 
 
 def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample dates of the records; some shortened, with a wrong day or in lower case."""
+    """Distinct sample dates with their counts; some with a wrong day, month or case."""
     date = F.col("sample_date")
     odd = (
         F.when(F.col("interviews") == 1, F.regexp_replace(date, r" \d+,", " 30,"))
@@ -264,48 +264,47 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("interviews") == 3, F.regexp_replace(date, "^Apr", "April"))
         .otherwise(date)
     )
-    return fx.creel(spark, sf_dir).select(odd.alias("d"))
+    return fx.creel(spark, sf_dir).groupBy(odd.alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("year_of")
 def year_of(spark, sf_dir):
-    return _values(_dates(spark, sf_dir), d=F.col("d"), year=dates.year_of(F.col("d")))
+    return _dates(spark, sf_dir).withColumn("year", dates.year_of(F.col("d")))
 
 
 @query("month_no")
 def month_no(spark, sf_dir):
-    return _values(_dates(spark, sf_dir), d=F.col("d"), month=dates.month_no(F.col("d")))
+    return _dates(spark, sf_dir).withColumn("month", dates.month_no(F.col("d")))
 
 
 @query("month_text")
 def month_text(spark, sf_dir):
-    return _values(_dates(spark, sf_dir), d=F.col("d"), month=dates.month_text(F.col("d")))
+    return _dates(spark, sf_dir).withColumn("month", dates.month_text(F.col("d")))
 
 
 @query("day_text")
 def day_text(spark, sf_dir):
     """Of dates with a comma; without one the tests compare with a database."""
-    dated = _dates(spark, sf_dir).where("d <> ''")
-    return _values(dated, d=F.col("d"), day=dates.day_text(F.col("d")))
+    return _dates(spark, sf_dir).where("d <> ''").withColumn("day", dates.day_text(F.col("d")))
 
 
 @query("date_text")
 def date_text(spark, sf_dir):
-    return _values(_dates(spark, sf_dir), d=F.col("d"), date=dates.date_text(F.col("d")))
+    return _dates(spark, sf_dir).withColumn("date", dates.date_text(F.col("d")))
 
 
 @query("period_key")
 def period_key(spark, sf_dir):
     d = F.col("d")
     units = {unit: dates.period_key(d, unit) for unit in ("daily", "weekly", "monthly", "yearly")}
-    return _values(_dates(spark, sf_dir), d=d, **units, other=dates.period_key(d, "hourly"))
+    return _dates(spark, sf_dir).withColumns({**units, "other": dates.period_key(d, "hourly")})
 
 
 @query("week_label")
 def week_label(spark, sf_dir):
-    key = dates.period_key(F.col("d"), "weekly")
-    weeks = _dates(spark, sf_dir).select(key.alias("period"))
-    return _values(weeks, period=F.col("period"), label=dates.week_label(F.col("period")))
+    weeks = dates.with_period(_dates(spark, sf_dir).withColumnRenamed("d", "sample_date"), "weekly")
+    totals = weeks.groupBy("period").agg(F.sum("n").alias("n"))
+    return totals.withColumn("label", dates.week_label(F.col("period")))
 
 
 @query("species_sum")
@@ -448,7 +447,7 @@ def filter_date_present(spark, sf_dir):
 @query("filter_month_known")
 def filter_month_known(spark, sf_dir):
     df = _dates(spark, sf_dir).withColumn("month", dates.month_no(F.col("d")))
-    return df.where("month IS NOT NULL").groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    return df.where("month IS NOT NULL").groupBy("month").agg(F.sum("n").alias("n"))
 
 
 @query("filter_updated")
