@@ -38,6 +38,18 @@ def test_due(spark, tmp_path):
     assert refresh_due(log, AT + timedelta(hours=24)).first().due
 
 
+def test_due_in_another_session_zone(spark, tmp_path):
+    path = str(tmp_path / "log")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        run_log.sink_metadata(spark, path, AT)
+        row = refresh_due(run_log.scan_log(spark, path), AT + timedelta(hours=23)).first()
+        assert (row.due, row.last_update) == (False, AT)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_refresh(spark, paths, tmp_path):
     landing = tmp_path / "landing"
     land(landing, 1, [("Apr 1, 2013", "R", "N/A", 1, 2, 3), ("Apr 1, 2013", "R", "", 1, "", 3)])

@@ -23,7 +23,7 @@ from tidetally.schema import (
     LAST_UPDATE,
     REFRESH_INTERVAL_HOURS,
 )
-from tidetally.session import scratch_path
+from tidetally.session import keep, scratch_path
 from tidetally.sources.csv_batches import list_batches, scan_csv_batches
 from tidetally.sources.run_log import scan_log, scan_metadata, sink_metadata
 from tidetally.sources.snapshots import snapshot_save
@@ -153,9 +153,8 @@ def refresh(
             "should_reload": False,
         }
     try:
-        manifest = stop_on_gap(
-            list_batches(spark, paths.landing), now.year - FIRST_SURVEY_YEAR + 1
-        )
+        landed = list_batches(spark, paths.landing)
+        manifest = keep(stop_on_gap(landed, now.year - FIRST_SURVEY_YEAR + 1), "manifest")
         raw = scan_csv_batches(spark, manifest)
         stage = scratch_path(spark, "refresh")
         load = stage_load(spark, raw, paths.store, now, stage, null_safe_key, over)

@@ -187,8 +187,8 @@ SQL["sink_metadata"] = """
 WITH log AS (
   SELECT CASE WHEN event_type = 'click' THEN 'last_update' ELSE event_type END AS key,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS value FROM events
-  UNION ALL SELECT 'last_update', '2025-06-01T12:00:00'
-  UNION ALL SELECT 'last_update', '2024-06-01T12:00:00')
+  UNION ALL SELECT 'last_update', '2025-06-01T12:00:00+00:00'
+  UNION ALL SELECT 'last_update', '2024-06-01T12:00:00+00:00')
 SELECT key, count(*) AS entries, max(value) AS value FROM log GROUP BY key"""
 of_creel(
     "export_json",
@@ -257,14 +257,14 @@ DATES = """dates AS (SELECT CASE interviews
     WHEN 3 THEN regexp_replace(sample_date, '^Apr', 'April') ELSE sample_date END AS d FROM creel)"""
 
 
-def of_dates(name: str, columns: str, where: str = "true") -> None:
-    of_creel(name, f"SELECT d, {columns}, count(*) AS n FROM dates WHERE {where} GROUP BY ALL", DATES)
+def of_dates(name: str, columns: str) -> None:
+    of_creel(name, f"SELECT d, {columns}, count(*) AS n FROM dates GROUP BY ALL", DATES)
 
 
 of_dates("year_of", "right(d, 4) AS year")
 of_dates("month_no", f"{month_no('d')} AS month")
 of_dates("month_text", f"{month_text('d')} AS month")
-of_dates("day_text", f"{day_text('d')} AS day", "d <> ''")
+of_dates("day_text", f"{day_text('d')} AS day")
 of_dates("date_text", f"{date_text('d')} AS date")
 of_dates(
     "period_key",
@@ -396,7 +396,7 @@ CANONICAL = """canonical AS (
   FROM creel WHERE regexp_matches(catch_area, '^Area\\s+(\\d+),') GROUP BY 1)"""
 of_creel("canonical_areas", "SELECT * FROM canonical", CANONICAL)
 FEATURES = """feat AS (SELECT CAST(n_nationkey AS VARCHAR) AS ma_number, n_name AS ma_name,
-    'WAC ' || n_regionkey AS wac FROM nation WHERE n_nationkey < 20)"""
+    'WAC ' || n_regionkey AS wac FROM nation)"""
 MATCHED = """named AS (
   SELECT f.*, (SELECT t.area FROM totals t WHERE t.area = f.ma_name) AS exact_area,
     (SELECT min(t.area) FROM totals t WHERE starts_with(t.area, 'Area ' || f.ma_number || ',')) AS prefix_area,
@@ -427,8 +427,9 @@ of_creel(
     "dense_months",
     f"""SELECT CAST(m AS INTEGER) AS month, coalesce(total, 0) AS total
       FROM range(1, 13) r(m) LEFT JOIN (
-        SELECT {month_no('sample_date')} AS month, sum(coho) AS total FROM creel GROUP BY 1) t
-      ON t.month = m AND m <= 3""",
+        SELECT {month_no('sample_date')} AS month, sum({SUM5}) AS total FROM creel
+        WHERE right(sample_date, 4) >= '2001' GROUP BY 1) t
+      ON t.month = m""",
 )
 
 # --- aggregates, sorts, limits -----------------------------------------------

@@ -1,6 +1,6 @@
 """Append-only log of finished runs; the latest entry of a key counts."""
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ def scan_metadata(log: DataFrame) -> DataFrame:
 def sink_metadata(
     spark: SparkSession, path: str, at: datetime, key: str = LAST_UPDATE, value: str | None = None
 ) -> None:
-    stamp = at.isoformat()
+    """Appends an entry; times are written in UTC, so their texts sort as times do."""
+    stamp = at.astimezone(timezone.utc).isoformat()
     row = (key, stamp if value is None else value, stamp)
     spark.createDataFrame([row], RUN_LOG).coalesce(1).write.mode("append").parquet(path)
