@@ -119,7 +119,7 @@ def test_snapshots(spark, tmp_path):
 def test_export_keeps_nulls_and_drops_internals(spark, tmp_path):
     df = records(spark, [{"sample_date": "Apr 1, 2013", "coho": 1.5, "data_hash": "x"}])
     path = export.export_json(df, str(tmp_path))
-    assert path.split("/")[-1].startswith("creel_export_") and path.endswith(".json")
+    assert path.split("/")[-1].startswith("survey_export_") and path.endswith(".json")
     line = json.loads(spark.read.text(path).first().value)
     assert line["coho"] == 1.5 and line["chinook"] is None and line["sample_date"] == "Apr 1, 2013"
     assert not {"data_hash", "created_at", "updated_at", "id"} & set(line)

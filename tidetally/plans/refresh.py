@@ -19,9 +19,12 @@ from tidetally.operators.ingest import (
 )
 from tidetally.operators.skew import HOT_ROWS
 from tidetally.schema import (
+    CURRENT_MESSAGE,
+    FAILED_MESSAGE,
     FIRST_SURVEY_YEAR,
     LAST_UPDATE,
     REFRESH_INTERVAL_HOURS,
+    UPDATED_MESSAGE,
 )
 from tidetally.session import keep, scratch_path
 from tidetally.sources.csv_batches import list_batches, scan_csv_batches
@@ -54,7 +57,7 @@ def refresh_due(log: DataFrame, now: datetime | Column) -> DataFrame:
     ) / F.lit(3_600_000_000)
     due = last.isNull() | (hours >= REFRESH_INTERVAL_HOURS)
     day = F.expr("INTERVAL 1 DAY")
-    message = F.format_string("Data is current (updated %.1f hours ago)", hours)
+    message = F.format_string(CURRENT_MESSAGE, hours)
     return scan_metadata(log).select(
         due.alias("due"),
         last,
@@ -166,13 +169,13 @@ def refresh(
     except Exception as error:
         return {
             "success": False,
-            "message": f"Error updating data: {error}",
+            "message": FAILED_MESSAGE.format(error),
             "last_update": last,
             "should_reload": False,
         }
     return {
         "success": True,
-        "message": f"Data updated successfully. Total records: {totals.records:,}",
+        "message": UPDATED_MESSAGE.format(totals.records),
         "last_update": now.isoformat(),
         "records": totals.records,
         "new": totals.new,

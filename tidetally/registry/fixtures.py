@@ -23,7 +23,7 @@ def date_words(day: Column) -> Column:
     return _text(month_name(F.month(day)), " ", F.dayofmonth(day), ", ", F.year(day))
 
 
-def creel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey records from ``lineitem``."""
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     line, quantity, ship = F.col("l_linenumber"), F.col("l_quantity"), F.col("l_shipdate")

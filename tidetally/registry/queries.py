@@ -54,7 +54,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "store")
-    store.write_partitions(fx.creel(spark, sf_dir), path)
+    store.write_partitions(fx.survey(spark, sf_dir), path)
     return path
 
 
@@ -90,7 +90,7 @@ def scan_store(spark, sf_dir):
 def init_store(spark, sf_dir):
     path = scratch_path(spark, "store")
     store.init_store(spark, path)
-    store.sink_store(fx.creel(spark, sf_dir), path, scratch_path(spark, "stage"))
+    store.sink_store(fx.survey(spark, sf_dir), path, scratch_path(spark, "stage"))
     return store.init_store(spark, path).groupBy("survey_year").agg(
         F.count(F.lit(1)).alias("n"), F.count("anglers").alias("with_anglers")
     )
@@ -220,7 +220,7 @@ def sink_features(spark, sf_dir):
 
 @query("result_json")
 def result_json(spark, sf_dir):
-    df = fx.creel(spark, sf_dir).select("sample_date", "catch_area", "interviews", "anglers")
+    df = fx.survey(spark, sf_dir).select("sample_date", "catch_area", "interviews", "anglers")
     return series.result_json(df.distinct())
 
 
@@ -247,7 +247,7 @@ def normalize_area(spark, sf_dir):
 
 @query("data_hash")
 def data_hash(spark, sf_dir):
-    return _values(fx.creel(spark, sf_dir).drop("data_hash"), data_hash=cleaning.data_hash())
+    return _values(fx.survey(spark, sf_dir).drop("data_hash"), data_hash=cleaning.data_hash())
 
 
 @query("project_record")
@@ -264,7 +264,7 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("interviews") == 3, F.regexp_replace(date, "^Apr", "April"))
         .otherwise(date)
     )
-    return fx.creel(spark, sf_dir).groupBy(odd.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return fx.survey(spark, sf_dir).groupBy(odd.alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("year_of")
@@ -310,7 +310,7 @@ def week_label(spark, sf_dir):
 def species_sum(spark, sf_dir):
     """The sum over rows next to the sum of the species' own sums."""
     names = ["chinook", "sockeye", "halibut"]
-    return fx.creel(spark, sf_dir).groupBy("ramp_site").agg(
+    return fx.survey(spark, sf_dir).groupBy("ramp_site").agg(
         F.sum(measures.species_sum(names)).alias("of_rows"),
         sum([F.sum(name) for name in names[1:]], F.sum(names[0])).alias("of_species"),
     )
@@ -319,7 +319,7 @@ def species_sum(spark, sf_dir):
 @query("species_list")
 def species_list(spark, sf_dir):
     """Sums picked by four ways of asking."""
-    df = fx.creel(spark, sf_dir)
+    df = fx.survey(spark, sf_dir)
     asked = {
         "none": None,
         "all": ["all", "coho"],
@@ -336,18 +336,18 @@ def species_list(spark, sf_dir):
 @query("area_number")
 def area_number(spark, sf_dir):
     area = F.col("catch_area")
-    return _values(fx.creel(spark, sf_dir), area=area, number=labels.area_number(area))
+    return _values(fx.survey(spark, sf_dir), area=area, number=labels.area_number(area))
 
 
 @query("area_label")
 def area_label(spark, sf_dir):
     long = F.concat(F.col("ramp_site"), F.lit(" off the shore of "), F.col("catch_area"))
-    return _values(fx.creel(spark, sf_dir), area=long, label=labels.area_label(long))
+    return _values(fx.survey(spark, sf_dir), area=long, label=labels.area_label(long))
 
 
 @query("species_label")
 def species_label(spark, sf_dir):
-    df = fx.creel(spark, sf_dir).unpivot(["ramp_site"], SPECIES, "species", "catch")
+    df = fx.survey(spark, sf_dir).unpivot(["ramp_site"], SPECIES, "species", "catch")
     return df.groupBy(labels.species_label(F.col("species")).alias("label")).agg(
         F.sum("catch").alias("catch")
     )
@@ -373,7 +373,7 @@ def format_count(spark, sf_dir):
 
 @query("coalesce_zero")
 def coalesce_zero(spark, sf_dir):
-    df = fx.creel(spark, sf_dir)
+    df = fx.survey(spark, sf_dir)
     caught, anglers = (measures.coalesce_zero(F.col(c)) for c in ("chinook", "anglers"))
     return _values(df, chinook=caught, anglers=anglers)
 
@@ -392,7 +392,7 @@ def rounding(spark, sf_dir):
 
 @query("intensity")
 def intensity(spark, sf_dir):
-    totals = keep(aggregates.map_data(fx.creel(spark, sf_dir)), "totals")
+    totals = keep(aggregates.map_data(fx.survey(spark, sf_dir)), "totals")
     return areas.with_intensity(totals, totals)
 
 
@@ -402,13 +402,13 @@ def intensity(spark, sf_dir):
 @query("where_clause")
 def where_clause(spark, sf_dir):
     spec = FilterSpec(year_start="1996", year_end="1999", catch_area=PICKED)
-    return fx.creel(spark, sf_dir).where(filters.where_clause(spec)).select(*KEY, *VALUES)
+    return fx.survey(spark, sf_dir).where(filters.where_clause(spec)).select(*KEY, *VALUES)
 
 
 @query("filter_year_range")
 def filter_year_range(spark, sf_dir):
     """Row counts under four pairs of bounds."""
-    df = fx.creel(spark, sf_dir)
+    df = fx.survey(spark, sf_dir)
     bounds = {
         "upper": (None, "1997"),
         "lower": ("1997", None),
@@ -427,19 +427,19 @@ def filter_year_range(spark, sf_dir):
 
 @query("filter_areas")
 def filter_areas(spark, sf_dir):
-    df = filters.filter_areas(fx.creel(spark, sf_dir), ["", *PICKED])
+    df = filters.filter_areas(fx.survey(spark, sf_dir), ["", *PICKED])
     return df.groupBy("catch_area").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("filter_area_present")
 def filter_area_present(spark, sf_dir):
-    df = filters.filter_area_present(fx.creel(spark, sf_dir))
+    df = filters.filter_area_present(fx.survey(spark, sf_dir))
     return df.groupBy("catch_area", "ramp_site").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("filter_date_present")
 def filter_date_present(spark, sf_dir):
-    df = filters.filter_date_present(fx.creel(spark, sf_dir))
+    df = filters.filter_date_present(fx.survey(spark, sf_dir))
     return df.groupBy("sample_date").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -451,7 +451,7 @@ def filter_month_known(spark, sf_dir):
 
 @query("filter_updated")
 def filter_updated(spark, sf_dir):
-    df = filters.filter_updated(fx.creel(spark, sf_dir))
+    df = filters.filter_updated(fx.survey(spark, sf_dir))
     return df.groupBy("interviews").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -460,7 +460,7 @@ def filtered_records(spark, sf_dir):
     spec = FilterSpec.from_params(
         {"year_start": ["1998"], "catch_area": list(PICKED), "species": ["coho"]}
     )
-    return filters.filtered_records(fx.creel(spark, sf_dir), spec).select(
+    return filters.filtered_records(fx.survey(spark, sf_dir), spec).select(
         *KEY, *VALUES, "data_hash"
     )
 
@@ -478,7 +478,7 @@ def key_match(spark, sf_dir):
 
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return areas.canonical_areas(options.filter_options_areas(fx.creel(spark, sf_dir)))
+    return areas.canonical_areas(options.filter_options_areas(fx.survey(spark, sf_dir)))
 
 
 @query("canonical_areas")
@@ -490,7 +490,7 @@ def canonical_areas(spark, sf_dir):
 def area_match(spark, sf_dir):
     """Totals of a few areas only, so that all four steps find something."""
     spec = FilterSpec(catch_area=(*PICKED, "Area 1, Zone 1"))
-    totals = keep(aggregates.map_data(fx.creel(spark, sf_dir), spec), "totals")
+    totals = keep(aggregates.map_data(fx.survey(spark, sf_dir), spec), "totals")
     return areas.area_match(
         fx.area_features(spark, sf_dir), totals, _canonical(spark, sf_dir)
     ).drop("geometry")
@@ -498,7 +498,7 @@ def area_match(spark, sf_dir):
 
 @query("custom_area_match")
 def custom_area_match(spark, sf_dir):
-    totals = aggregates.map_data(fx.creel(spark, sf_dir))
+    totals = aggregates.map_data(fx.survey(spark, sf_dir))
     return areas.custom_area_match(fx.nation_customs(spark, sf_dir), totals).drop("geometry")
 
 
@@ -506,14 +506,14 @@ def custom_area_match(spark, sf_dir):
 def selected_flag(spark, sf_dir):
     area = F.col("catch_area")
     return _values(
-        fx.creel(spark, sf_dir), area=area, selected=areas.selected_flag(area, PICKED)
+        fx.survey(spark, sf_dir), area=area, selected=areas.selected_flag(area, PICKED)
     )
 
 
 @query("dense_months")
 def dense_months(spark, sf_dir):
     """The last year of the data ends early: its missing months get 0."""
-    return aggregates.monthly(fx.creel(spark, sf_dir), FilterSpec(year_start="2001"))
+    return aggregates.monthly(fx.survey(spark, sf_dir), FilterSpec(year_start="2001"))
 
 
 # --- aggregates, sorts, limits -----------------------------------------------
@@ -521,59 +521,59 @@ def dense_months(spark, sf_dir):
 
 @query("stats")
 def stats(spark, sf_dir):
-    return aggregates.stats(fx.creel(spark, sf_dir))
+    return aggregates.stats(fx.survey(spark, sf_dir))
 
 
 @query("stats_filtered")
 def stats_filtered(spark, sf_dir):
     spec = FilterSpec(year_start="1997", year_end="1999", species=("halibut",))
-    return aggregates.stats(fx.creel(spark, sf_dir), spec)
+    return aggregates.stats(fx.survey(spark, sf_dir), spec)
 
 
 @query("stats_no_rows")
 def stats_no_rows(spark, sf_dir):
-    return aggregates.stats(fx.creel(spark, sf_dir), FilterSpec("2020", "2013"))
+    return aggregates.stats(fx.survey(spark, sf_dir), FilterSpec("2020", "2013"))
 
 
 @query("count_areas")
 def count_areas(spark, sf_dir):
-    return aggregates.count_areas(fx.creel(spark, sf_dir), YEARS)
+    return aggregates.count_areas(fx.survey(spark, sf_dir), YEARS)
 
 
 @query("areas")
 def areas_query(spark, sf_dir):
-    return aggregates.areas(fx.creel(spark, sf_dir))
+    return aggregates.areas(fx.survey(spark, sf_dir))
 
 
 @query("areas_two_species")
 def areas_two_species(spark, sf_dir):
-    return aggregates.areas(fx.creel(spark, sf_dir), TWO_SPECIES)
+    return aggregates.areas(fx.survey(spark, sf_dir), TWO_SPECIES)
 
 
 @query("top_areas")
 def top_areas(spark, sf_dir):
-    return aggregates.top_areas(fx.creel(spark, sf_dir), n=10)
+    return aggregates.top_areas(fx.survey(spark, sf_dir), n=10)
 
 
 @query("map_data")
 def map_data(spark, sf_dir):
-    return aggregates.map_data(fx.creel(spark, sf_dir))
+    return aggregates.map_data(fx.survey(spark, sf_dir))
 
 
 @query("map_data_filtered")
 def map_data_filtered(spark, sf_dir):
     spec = FilterSpec(year_end="1997", species=("chinook", "sockeye"))
-    return aggregates.map_data(fx.creel(spark, sf_dir), spec)
+    return aggregates.map_data(fx.survey(spark, sf_dir), spec)
 
 
 @query("yearly")
 def yearly(spark, sf_dir):
-    return aggregates.yearly(fx.creel(spark, sf_dir))
+    return aggregates.yearly(fx.survey(spark, sf_dir))
 
 
 def _trend(unit: str) -> Query:
     def run(spark, sf_dir):
-        return aggregates.trend(fx.creel(spark, sf_dir), FilterSpec(time_unit=unit))
+        return aggregates.trend(fx.survey(spark, sf_dir), FilterSpec(time_unit=unit))
 
     return run
 
@@ -585,62 +585,62 @@ for _unit in dates.TIME_UNITS:
 @query("trend_weekly_filtered")
 def trend_weekly_filtered(spark, sf_dir):
     spec = FilterSpec("1997", "1999", PICKED, ("coho", "lingcod"), "weekly")
-    return aggregates.trend(fx.creel(spark, sf_dir), spec)
+    return aggregates.trend(fx.survey(spark, sf_dir), spec)
 
 
 @query("species")
 def species(spark, sf_dir):
-    return aggregates.species(fx.creel(spark, sf_dir), FilterSpec(species=tuple(SPECIES)))
+    return aggregates.species(fx.survey(spark, sf_dir), FilterSpec(species=tuple(SPECIES)))
 
 
 @query("monthly")
 def monthly(spark, sf_dir):
-    return aggregates.monthly(fx.creel(spark, sf_dir))
+    return aggregates.monthly(fx.survey(spark, sf_dir))
 
 
 @query("record_count")
 def record_count(spark, sf_dir):
-    return aggregates.record_count(fx.creel(spark, sf_dir))
+    return aggregates.record_count(fx.survey(spark, sf_dir))
 
 
 @query("effort_totals")
 def effort_totals(spark, sf_dir):
-    return aggregates.effort_totals(fx.creel(spark, sf_dir))
+    return aggregates.effort_totals(fx.survey(spark, sf_dir))
 
 
 @query("records_by_year")
 def records_by_year(spark, sf_dir):
-    return aggregates.records_by_year(fx.creel(spark, sf_dir))
+    return aggregates.records_by_year(fx.survey(spark, sf_dir))
 
 
 @query("top_areas_by_records")
 def top_areas_by_records(spark, sf_dir):
-    return aggregates.top_areas_by_records(fx.creel(spark, sf_dir))
+    return aggregates.top_areas_by_records(fx.survey(spark, sf_dir))
 
 
 @query("updated_count")
 def updated_count(spark, sf_dir):
-    return aggregates.updated_count(fx.creel(spark, sf_dir))
+    return aggregates.updated_count(fx.survey(spark, sf_dir))
 
 
 @query("max_area_total")
 def max_area_total(spark, sf_dir):
-    return areas.max_area_total(aggregates.map_data(fx.creel(spark, sf_dir)))
+    return areas.max_area_total(aggregates.map_data(fx.survey(spark, sf_dir)))
 
 
 @query("filter_options_years")
 def filter_options_years(spark, sf_dir):
-    return options.filter_options_years(fx.creel(spark, sf_dir))
+    return options.filter_options_years(fx.survey(spark, sf_dir))
 
 
 @query("filter_options_areas")
 def filter_options_areas(spark, sf_dir):
-    return options.filter_options_areas(fx.creel(spark, sf_dir))
+    return options.filter_options_areas(fx.survey(spark, sf_dir))
 
 
 @query("filter_options")
 def filter_options(spark, sf_dir):
-    both = options.filter_options(fx.creel(spark, sf_dir))
+    both = options.filter_options(fx.survey(spark, sf_dir))
     return both.select(
         F.array_join("years", "|").alias("years"), F.array_join("areas", "|").alias("areas")
     )
@@ -784,7 +784,7 @@ def feature_stats(spark, sf_dir):
 def choropleth(spark, sf_dir):
     spec = FilterSpec("1997", "1999", PICKED)
     return map_page(
-        fx.creel(spark, sf_dir),
+        fx.survey(spark, sf_dir),
         fx.area_features(spark, sf_dir),
         fx.nation_customs(spark, sf_dir),
         spec,
@@ -796,30 +796,30 @@ def choropleth(spark, sf_dir):
 
 @query("area_lookup")
 def area_lookup(spark, sf_dir):
-    lookup = series.area_lookup(aggregates.map_data(fx.creel(spark, sf_dir)))
+    lookup = series.area_lookup(aggregates.map_data(fx.survey(spark, sf_dir)))
     return lookup.select("area", "figures.total", "figures.surveys")
 
 
 @query("trend_series")
 def trend_series(spark, sf_dir):
     spec = FilterSpec(time_unit="weekly", species=("chinook", "sockeye", "halibut"))
-    trend = aggregates.trend(fx.creel(spark, sf_dir), spec)
+    trend = aggregates.trend(fx.survey(spark, sf_dir), spec)
     return series.trend_series(trend, spec.species_names, spec.time_unit)
 
 
 @query("species_series")
 def species_series(spark, sf_dir):
-    return series.species_series(aggregates.species(fx.creel(spark, sf_dir)))
+    return series.species_series(aggregates.species(fx.survey(spark, sf_dir)))
 
 
 @query("area_series")
 def area_series(spark, sf_dir):
-    return series.area_series(aggregates.areas(fx.creel(spark, sf_dir)))
+    return series.area_series(aggregates.areas(fx.survey(spark, sf_dir)))
 
 
 @query("monthly_series")
 def monthly_series(spark, sf_dir):
-    return series.monthly_series(aggregates.monthly(fx.creel(spark, sf_dir)))
+    return series.monthly_series(aggregates.monthly(fx.survey(spark, sf_dir)))
 
 
 # --- refresh and composites --------------------------------------------------
@@ -878,9 +878,9 @@ def stream_refresh_query(spark, sf_dir):
 
 @query("dashboard")
 def dashboard(spark, sf_dir):
-    return page_long(fx.creel(spark, sf_dir), FilterSpec("1996", "2000", time_unit="weekly"))
+    return page_long(fx.survey(spark, sf_dir), FilterSpec("1996", "2000", time_unit="weekly"))
 
 
 @query("collection_report")
 def collection_report(spark, sf_dir):
-    return report_long(fx.creel(spark, sf_dir))
+    return report_long(fx.survey(spark, sf_dir))

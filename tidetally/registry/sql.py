@@ -4,7 +4,7 @@ SQL: dict[str, str] = {}
 
 # --- the mappings of fixtures.py ---------------------------------------------
 
-CREEL = """creel AS (
+SURVEY = """survey AS (
   SELECT CASE WHEN l_partkey % 97 = 0 THEN '' ELSE strftime(l_shipdate, '%b %-d, %Y') END AS sample_date,
     'Ramp ' || (l_suppkey % 23) AS ramp_site,
     CASE WHEN l_partkey % 11 = 0 THEN ''
@@ -141,15 +141,15 @@ def add(name: str, body: str, *ctes: str) -> None:
     SQL[name] = f"WITH {', '.join(ctes)} {body}" if ctes else body
 
 
-def of_creel(name: str, body: str, *ctes: str) -> None:
-    add(name, body, CREEL, *ctes)
+def of_survey(name: str, body: str, *ctes: str) -> None:
+    add(name, body, SURVEY, *ctes)
 
 
 def of_rec(name: str, body: str, *ctes: str) -> None:
     add(name, body, RAW, TYPED, REC, *ctes)
 
 
-HASHED = f"hashed AS (SELECT *, {_hash(_VALUES)} AS data_hash FROM creel)"
+HASHED = f"hashed AS (SELECT *, {_hash(_VALUES)} AS data_hash FROM survey)"
 SALMON = "chinook coho chum pink sockeye".split()
 SUM5 = "chinook + coho + chum + pink + sockeye"
 YEARS = "right(sample_date, 4) >= '1997' AND right(sample_date, 4) <= '1999'"
@@ -167,15 +167,15 @@ add(
     " FROM raw GROUP BY ALL",
     RAW,
 )
-of_creel(
+of_survey(
     "scan_store",
     f"SELECT {SURVEY_YEAR} AS survey_year, catch_area, count(*) AS n, sum(coho) AS coho"
-    f" FROM creel WHERE {YEARS} GROUP BY ALL",
+    f" FROM survey WHERE {YEARS} GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "init_store",
     f"SELECT {SURVEY_YEAR} AS survey_year, count(*) AS n, count(anglers) AS with_anglers"
-    " FROM creel GROUP BY ALL",
+    " FROM survey GROUP BY ALL",
 )
 # A change is one between the loads or within one of them.
 of_rec("sink_store", "SELECT * FROM state", latest())
@@ -190,20 +190,20 @@ WITH log AS (
   UNION ALL SELECT 'last_update', '2025-06-01T12:00:00+00:00'
   UNION ALL SELECT 'last_update', '2024-06-01T12:00:00+00:00')
 SELECT key, count(*) AS entries, max(value) AS value FROM log GROUP BY key"""
-of_creel(
+of_survey(
     "export_json",
     "SELECT catch_area, count(*) AS n, count(anglers) AS with_anglers, sum(chinook) AS chinook,"
     " sum(sockeye) AS sockeye, CAST(0 AS BIGINT) AS with_hash, CAST(0 AS BIGINT) AS with_created"
-    " FROM creel GROUP BY catch_area",
+    " FROM survey GROUP BY catch_area",
 )
-of_creel(
+of_survey(
     "snapshot_save",
     "SELECT catch_area, 2 * count(*) AS n, 2 * sum(coho) AS coho, CAST(2 AS BIGINT) AS copies"
-    " FROM creel GROUP BY catch_area",
+    " FROM survey GROUP BY catch_area",
 )
-of_creel(
+of_survey(
     "snapshot_restore",
-    f"SELECT {SURVEY_YEAR} AS survey_year, count(*) AS n, sum(pink) AS pink FROM creel GROUP BY ALL",
+    f"SELECT {SURVEY_YEAR} AS survey_year, count(*) AS n, sum(pink) AS pink FROM survey GROUP BY ALL",
 )
 SQL["scan_features"] = """
 SELECT CAST(s_nationkey AS VARCHAR) AS ma_number, s_name AS ma_name,
@@ -213,11 +213,11 @@ SQL["scan_custom_areas"] = """
 SELECT s_name AS name, 'Waters of ' || s_name AS description,
   CASE WHEN s_suppkey % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind FROM supplier"""
 SQL["sink_features"] = "SELECT count(*) AS features, count(*) > 0 AS has_bytes FROM supplier"
-of_creel(
+of_survey(
     "result_json",
     """SELECT '{"sample_date":"' || sample_date || '","catch_area":"' || catch_area
       || '","interviews":' || interviews || ',"anglers":' || coalesce(CAST(anglers AS VARCHAR), 'null')
-      || '}' AS json FROM (SELECT DISTINCT sample_date, catch_area, interviews, anglers FROM creel)""",
+      || '}' AS json FROM (SELECT DISTINCT sample_date, catch_area, interviews, anglers FROM survey)""",
 )
 
 # --- projections and scalar functions ----------------------------------------
@@ -245,7 +245,7 @@ WITH t AS (SELECT CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THE
     WHEN 6 THEN ' Area ' || (o_custkey % 20) || ', East ' ELSE o_orderpriority END AS text FROM orders)
 SELECT text, CASE WHEN text IS NULL OR trim(text) IN ('', 'N/A', 'n/a', 'NA', 'null') THEN ''
   ELSE trim(text) END AS area, count(*) AS n FROM t GROUP BY ALL"""
-of_creel("data_hash", "SELECT data_hash, count(*) AS n FROM hashed GROUP BY ALL", HASHED)
+of_survey("data_hash", "SELECT data_hash, count(*) AS n FROM hashed GROUP BY ALL", HASHED)
 of_rec(
     "project_record",
     f"""SELECT batch_no, seq, {KEY}, chinook, CAST(NULL AS DOUBLE) AS chinook_per_angler, coho,
@@ -254,11 +254,11 @@ of_rec(
 )
 DATES = """dates AS (SELECT CASE interviews
     WHEN 1 THEN regexp_replace(sample_date, ' [0-9]+,', ' 30,') WHEN 2 THEN lower(sample_date)
-    WHEN 3 THEN regexp_replace(sample_date, '^Apr', 'April') ELSE sample_date END AS d FROM creel)"""
+    WHEN 3 THEN regexp_replace(sample_date, '^Apr', 'April') ELSE sample_date END AS d FROM survey)"""
 
 
 def of_dates(name: str, columns: str) -> None:
-    of_creel(name, f"SELECT d, {columns}, count(*) AS n FROM dates GROUP BY ALL", DATES)
+    of_survey(name, f"SELECT d, {columns}, count(*) AS n FROM dates GROUP BY ALL", DATES)
 
 
 of_dates("year_of", "right(d, 4) AS year")
@@ -271,37 +271,37 @@ of_dates(
     ", ".join(f"{period('d', u)} AS {u}" for u in ("daily", "weekly", "monthly", "yearly"))
     + ", right(d, 4) AS other",
 )
-of_creel(
+of_survey(
     "week_label",
     f"SELECT period, {week_label('period')} AS label, count(*) AS n"
     f" FROM (SELECT {week_key('d')} AS period FROM dates) GROUP BY ALL",
     DATES,
 )
-of_creel(
+of_survey(
     "species_sum",
     "SELECT ramp_site, sum(chinook + sockeye + halibut) AS of_rows,"
-    " sum(chinook) + sum(sockeye) + sum(halibut) AS of_species FROM creel GROUP BY ALL",
+    " sum(chinook) + sum(sockeye) + sum(halibut) AS of_species FROM survey GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "species_list",
     f"SELECT ramp_site, sum({SUM5}) AS sum_none, sum({SUM5}) AS sum_all, sum({SUM5}) AS sum_blank,"
-    " sum(coho + lingcod) AS sum_two FROM creel GROUP BY ALL",
+    " sum(coho + lingcod) AS sum_two FROM survey GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "area_number",
     "SELECT catch_area AS area, regexp_extract(catch_area, '^Area\\s+(\\d+),', 1) AS number,"
-    " count(*) AS n FROM creel GROUP BY ALL",
+    " count(*) AS n FROM survey GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "area_label",
     "SELECT area, CASE WHEN length(area) > 30 THEN left(area, 30) || '...' ELSE area END AS label,"
-    " count(*) AS n FROM (SELECT ramp_site || ' off the shore of ' || catch_area AS area FROM creel)"
+    " count(*) AS n FROM (SELECT ramp_site || ' off the shore of ' || catch_area AS area FROM survey)"
     " GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "species_label",
     " UNION ALL ".join(
-        f"SELECT '{s.capitalize()}' AS label, sum({s}) AS catch FROM creel"
+        f"SELECT '{s.capitalize()}' AS label, sum({s}) AS catch FROM survey"
         for s in (*SALMON, "lingcod", "halibut")
     ),
 )
@@ -313,10 +313,10 @@ SQL["format_count"] = (
     "SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice + CAST(0.5 AS DOUBLE)) AS BIGINT))"
     " AS text FROM orders"
 )
-of_creel(
+of_survey(
     "coalesce_zero",
     "SELECT coalesce(chinook, 0) AS chinook, coalesce(anglers, 0) AS anglers, count(*) AS n"
-    " FROM creel GROUP BY ALL",
+    " FROM survey GROUP BY ALL",
 )
 SQL["rounding"] = """
 SELECT value, CAST(round_even(value, 0) AS BIGINT) AS half_even,
@@ -324,10 +324,10 @@ SELECT value, CAST(round_even(value, 0) AS BIGINT) AS half_even,
 FROM (SELECT CAST(o_orderkey % 41 - 20 AS DOUBLE) / 4 AS value FROM orders) GROUP BY ALL"""
 
 TOTALS = f"""totals AS (SELECT catch_area AS area, coalesce(sum({SUM5}), 0) AS total,
-    count(*) AS surveys FROM creel WHERE catch_area <> '' GROUP BY catch_area)"""
+    count(*) AS surveys FROM survey WHERE catch_area <> '' GROUP BY catch_area)"""
 SHARE = "least(total / greatest((SELECT max(total) FROM totals), 1), 1)"
 OPACITY = f"CAST(0.3 AS DOUBLE) + {SHARE} * CAST(0.5 AS DOUBLE)"
-of_creel(
+of_survey(
     "intensity",
     f"SELECT area, total, surveys, {SHARE} AS intensity, {OPACITY} AS fill_opacity FROM totals",
     TOTALS,
@@ -335,15 +335,15 @@ of_creel(
 
 # --- filters -----------------------------------------------------------------
 
-of_creel(
+of_survey(
     "where_clause",
-    f"SELECT {KEY}, {', '.join(_VALUES)} FROM creel WHERE right(sample_date, 4) >= '1996'"
+    f"SELECT {KEY}, {', '.join(_VALUES)} FROM survey WHERE right(sample_date, 4) >= '1996'"
     f" AND right(sample_date, 4) <= '1999' AND catch_area IN {PICKED}",
 )
-of_creel(
+of_survey(
     "filter_year_range",
     " UNION ALL ".join(
-        f"SELECT '{name}' AS bounds, sample_date, count(*) AS n FROM creel WHERE {where} GROUP BY ALL"
+        f"SELECT '{name}' AS bounds, sample_date, count(*) AS n FROM survey WHERE {where} GROUP BY ALL"
         for name, where in {
             "upper": "right(sample_date, 4) <= '1997'",
             "lower": "right(sample_date, 4) >= '1997'",
@@ -352,28 +352,28 @@ of_creel(
         }.items()
     ),
 )
-of_creel(
+of_survey(
     "filter_areas",
-    f"SELECT catch_area, count(*) AS n FROM creel WHERE catch_area IN {PICKED} GROUP BY ALL",
+    f"SELECT catch_area, count(*) AS n FROM survey WHERE catch_area IN {PICKED} GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "filter_area_present",
-    "SELECT catch_area, ramp_site, count(*) AS n FROM creel WHERE catch_area <> '' GROUP BY ALL",
+    "SELECT catch_area, ramp_site, count(*) AS n FROM survey WHERE catch_area <> '' GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "filter_date_present",
-    "SELECT sample_date, count(*) AS n FROM creel WHERE length(sample_date) > 0 GROUP BY ALL",
+    "SELECT sample_date, count(*) AS n FROM survey WHERE length(sample_date) > 0 GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "filter_month_known",
     f"SELECT {month_no('d')} AS month, count(*) AS n FROM dates"
     f" WHERE {month_no('d')} IS NOT NULL GROUP BY ALL",
     DATES,
 )
-of_creel(
-    "filter_updated", "SELECT interviews, count(*) AS n FROM creel WHERE changed GROUP BY ALL"
+of_survey(
+    "filter_updated", "SELECT interviews, count(*) AS n FROM survey WHERE changed GROUP BY ALL"
 )
-of_creel(
+of_survey(
     "filtered_records",
     f"SELECT {KEY}, {', '.join(_VALUES)}, data_hash FROM hashed"
     f" WHERE right(sample_date, 4) >= '1998' AND catch_area IN {PICKED}",
@@ -393,8 +393,8 @@ of_rec(
 )
 CANONICAL = """canonical AS (
   SELECT regexp_extract(catch_area, '^Area\\s+(\\d+),', 1) AS number, max(catch_area) AS canonical_area
-  FROM creel WHERE regexp_matches(catch_area, '^Area\\s+(\\d+),') GROUP BY 1)"""
-of_creel("canonical_areas", "SELECT * FROM canonical", CANONICAL)
+  FROM survey WHERE regexp_matches(catch_area, '^Area\\s+(\\d+),') GROUP BY 1)"""
+of_survey("canonical_areas", "SELECT * FROM canonical", CANONICAL)
 FEATURES = """feat AS (SELECT CAST(n_nationkey AS VARCHAR) AS ma_number, n_name AS ma_name,
     'WAC ' || n_regionkey AS wac FROM nation)"""
 MATCHED = """named AS (
@@ -408,26 +408,26 @@ matched AS (
     coalesce(t.total, 0) AS total, coalesce(t.surveys, 0) AS surveys
   FROM named n LEFT JOIN totals t ON t.area = coalesce(exact_area, prefix_area))"""
 SOME_TOTALS = f"""totals AS (SELECT catch_area AS area, coalesce(sum({SUM5}), 0) AS total,
-    count(*) AS surveys FROM creel
+    count(*) AS surveys FROM survey
     WHERE catch_area IN ('Area 4, Zone 4', 'NATION_15', 'Area 9, Zone 9', 'Area 1, Zone 1')
     GROUP BY catch_area)"""
-of_creel("area_match", "SELECT * FROM matched", SOME_TOTALS, CANONICAL, FEATURES, MATCHED)
-of_creel(
+of_survey("area_match", "SELECT * FROM matched", SOME_TOTALS, CANONICAL, FEATURES, MATCHED)
+of_survey(
     "custom_area_match",
     "SELECT n_name AS name, coalesce(total, 0) AS total, coalesce(surveys, 0) AS surveys"
     " FROM nation LEFT JOIN totals ON area = n_name",
     TOTALS,
 )
-of_creel(
+of_survey(
     "selected_flag",
     f"SELECT catch_area AS area, catch_area IN {PICKED} AS selected, count(*) AS n"
-    " FROM creel GROUP BY ALL",
+    " FROM survey GROUP BY ALL",
 )
-of_creel(
+of_survey(
     "dense_months",
     f"""SELECT CAST(m AS INTEGER) AS month, coalesce(total, 0) AS total
       FROM range(1, 13) r(m) LEFT JOIN (
-        SELECT {month_no('sample_date')} AS month, sum({SUM5}) AS total FROM creel
+        SELECT {month_no('sample_date')} AS month, sum({SUM5}) AS total FROM survey
         WHERE right(sample_date, 4) >= '2001' GROUP BY 1) t
       ON t.month = m""",
 )
@@ -445,90 +445,90 @@ def stats(where: str = "true") -> str:
       {figure("chinook")} AS total_chinook, {figure("coho")} AS total_coho,
       coalesce(nullif(min(right(sample_date, 4)), ''), 'N/A') AS min_year,
       coalesce(nullif(max(right(sample_date, 4)), ''), 'N/A') AS max_year,
-      count(DISTINCT nullif(catch_area, '')) AS areas FROM creel WHERE {where}"""
+      count(DISTINCT nullif(catch_area, '')) AS areas FROM survey WHERE {where}"""
 
 
-of_creel("stats", stats())
-of_creel("stats_filtered", stats(YEARS))
-of_creel("stats_no_rows", stats("false"))
-of_creel(
+of_survey("stats", stats())
+of_survey("stats_filtered", stats(YEARS))
+of_survey("stats_no_rows", stats("false"))
+of_survey(
     "count_areas",
-    f"SELECT count(DISTINCT catch_area) AS areas FROM creel WHERE catch_area <> '' AND {YEARS}",
-)
-AREAS = "SELECT catch_area AS area, sum({s}) AS total FROM creel WHERE catch_area <> '' GROUP BY 1"
-of_creel("areas", AREAS.format(s=SUM5))
-of_creel("areas_two_species", AREAS.format(s="coho + lingcod"))
-of_creel("top_areas", AREAS.format(s=SUM5) + " ORDER BY total DESC NULLS LAST, area LIMIT 10")
-of_creel("map_data", "SELECT * FROM totals", TOTALS)
-of_creel(
+    f"SELECT count(DISTINCT catch_area) AS areas FROM survey WHERE catch_area <> '' AND {YEARS}",
+)
+AREAS = "SELECT catch_area AS area, sum({s}) AS total FROM survey WHERE catch_area <> '' GROUP BY 1"
+of_survey("areas", AREAS.format(s=SUM5))
+of_survey("areas_two_species", AREAS.format(s="coho + lingcod"))
+of_survey("top_areas", AREAS.format(s=SUM5) + " ORDER BY total DESC NULLS LAST, area LIMIT 10")
+of_survey("map_data", "SELECT * FROM totals", TOTALS)
+of_survey(
     "map_data_filtered",
     "SELECT catch_area AS area, coalesce(sum(chinook + sockeye), 0) AS total, count(*) AS surveys"
-    " FROM creel WHERE right(sample_date, 4) <= '1997' AND catch_area <> '' GROUP BY 1",
+    " FROM survey WHERE right(sample_date, 4) <= '1997' AND catch_area <> '' GROUP BY 1",
 )
-of_creel(
+of_survey(
     "yearly",
     "SELECT right(sample_date, 4) AS year, "
     + ", ".join(f"coalesce(sum({s}), 0) AS {s}" for s in SALMON)
-    + " FROM creel WHERE length(sample_date) > 0 GROUP BY 1",
+    + " FROM survey WHERE length(sample_date) > 0 GROUP BY 1",
 )
 
 
 def trend(unit: str, species: list[str], where: str = "true") -> str:
     sums = ", ".join(f"sum({s}) AS {s}" for s in species)
     return (
-        f"SELECT {period('sample_date', unit)} AS period, {sums} FROM creel"
+        f"SELECT {period('sample_date', unit)} AS period, {sums} FROM survey"
         f" WHERE length(sample_date) > 0 AND {where} GROUP BY 1"
     )
 
 
 for _unit in ("daily", "weekly", "monthly", "yearly"):
-    of_creel(f"trend_{_unit}", trend(_unit, SALMON))
-of_creel(
+    of_survey(f"trend_{_unit}", trend(_unit, SALMON))
+of_survey(
     "trend_weekly_filtered",
     trend("weekly", ["coho", "lingcod"], f"{YEARS} AND catch_area IN {PICKED}"),
 )
-of_creel(
+of_survey(
     "species",
     "SELECT "
     + ", ".join(f"coalesce(sum({s}), 0) AS {s}" for s in (*SALMON, "lingcod", "halibut"))
-    + " FROM creel",
+    + " FROM survey",
 )
 MONTHLY = f"""monthly AS (SELECT CAST(m AS INTEGER) AS month, coalesce(total, 0) AS total
     FROM range(1, 13) r(m) LEFT JOIN (
-      SELECT {month_no('sample_date')} AS month, sum({SUM5}) AS total FROM creel GROUP BY 1) t
+      SELECT {month_no('sample_date')} AS month, sum({SUM5}) AS total FROM survey GROUP BY 1) t
     ON t.month = m)"""
-of_creel("monthly", "SELECT * FROM monthly", MONTHLY)
-of_creel("record_count", "SELECT count(*) AS records FROM creel")
-of_creel(
+of_survey("monthly", "SELECT * FROM monthly", MONTHLY)
+of_survey("record_count", "SELECT count(*) AS records FROM survey")
+of_survey(
     "effort_totals",
     "SELECT CAST(coalesce(sum(anglers), 0) AS BIGINT) AS total_anglers,"
-    " CAST(coalesce(sum(interviews), 0) AS BIGINT) AS total_interviews FROM creel",
+    " CAST(coalesce(sum(interviews), 0) AS BIGINT) AS total_interviews FROM survey",
 )
-of_creel(
+of_survey(
     "records_by_year",
-    "SELECT right(sample_date, 4) AS year, count(*) AS records FROM creel"
+    "SELECT right(sample_date, 4) AS year, count(*) AS records FROM survey"
     " WHERE length(sample_date) > 0 GROUP BY 1",
 )
-of_creel(
+of_survey(
     "top_areas_by_records",
-    "SELECT catch_area, count(*) AS records FROM creel WHERE catch_area <> '' GROUP BY 1"
+    "SELECT catch_area, count(*) AS records FROM survey WHERE catch_area <> '' GROUP BY 1"
     " ORDER BY records DESC, catch_area LIMIT 5",
 )
-of_creel("updated_count", "SELECT count(*) AS updated FROM creel WHERE changed")
-of_creel("max_area_total", "SELECT greatest(max(total), 1) AS max_total FROM totals", TOTALS)
-of_creel(
+of_survey("updated_count", "SELECT count(*) AS updated FROM survey WHERE changed")
+of_survey("max_area_total", "SELECT greatest(max(total), 1) AS max_total FROM totals", TOTALS)
+of_survey(
     "filter_options_years",
-    "SELECT DISTINCT right(sample_date, 4) AS year FROM creel WHERE length(sample_date) > 0",
+    "SELECT DISTINCT right(sample_date, 4) AS year FROM survey WHERE length(sample_date) > 0",
 )
-of_creel(
-    "filter_options_areas", "SELECT DISTINCT catch_area FROM creel WHERE catch_area <> ''"
+of_survey(
+    "filter_options_areas", "SELECT DISTINCT catch_area FROM survey WHERE catch_area <> ''"
 )
-of_creel(
+of_survey(
     "filter_options",
     "SELECT (SELECT string_agg(y, '|' ORDER BY y) FROM (SELECT DISTINCT right(sample_date, 4) AS y"
-    " FROM creel WHERE length(sample_date) > 0)) AS years,"
+    " FROM survey WHERE length(sample_date) > 0)) AS years,"
     " (SELECT string_agg(a, '|' ORDER BY a) FROM (SELECT DISTINCT catch_area AS a"
-    " FROM creel WHERE catch_area <> '')) AS areas",
+    " FROM survey WHERE catch_area <> '')) AS areas",
 )
 
 # --- change detection --------------------------------------------------------
@@ -653,7 +653,7 @@ add(
 SQL["feature_stats"] = """
 SELECT (SELECT count(*) FROM supplier) AS features, CAST(pos AS INTEGER) AS pos, key
 FROM (VALUES (0, 'maNumber'), (1, 'maName'), (2, 'WAC')) v(pos, key)"""
-of_creel(
+of_survey(
     "choropleth",
     f"""SELECT *, {SHARE} AS intensity, {OPACITY} AS fill_opacity, area IN {PICKED} AS selected FROM (
       SELECT false AS custom, ma_number, ma_name, wac, area, area AS display_name, total, surveys
@@ -662,7 +662,7 @@ of_creel(
       SELECT true, NULL, NULL, NULL, n_name, n_name, coalesce(total, 0), coalesce(surveys, 0)
       FROM nation LEFT JOIN totals ON area = n_name)""",
     f"""totals AS (SELECT catch_area AS area, coalesce(sum({SUM5}), 0) AS total, count(*) AS surveys
-      FROM creel WHERE catch_area IN {PICKED} AND {YEARS} GROUP BY catch_area)""",
+      FROM survey WHERE catch_area IN {PICKED} AND {YEARS} GROUP BY catch_area)""",
     CANONICAL,
     FEATURES,
     MATCHED,
@@ -670,9 +670,9 @@ of_creel(
 
 # --- reshapes ----------------------------------------------------------------
 
-of_creel("area_lookup", "SELECT * FROM totals", TOTALS)
+of_survey("area_lookup", "SELECT * FROM totals", TOTALS)
 HALF_UP = "CAST(floor({v} + CAST(0.5 AS DOUBLE)) AS BIGINT)"
-of_creel(
+of_survey(
     "trend_series",
     " UNION ALL ".join(
         f"SELECT period, {week_label('period')} AS label, '{s.capitalize()}' AS series,"
@@ -681,24 +681,24 @@ of_creel(
     ),
     f"weekly AS ({trend('weekly', ['chinook', 'sockeye', 'halibut'])})",
 )
-of_creel(
+of_survey(
     "species_series",
     " UNION ALL ".join(
         f"SELECT {place} AS place, '{s.capitalize()}' AS label, "
         + (
-            HALF_UP.format(v=f"coalesce(sum({s}), 0)") + " AS value FROM creel"
+            HALF_UP.format(v=f"coalesce(sum({s}), 0)") + " AS value FROM survey"
             if s in SALMON
             else "CAST(NULL AS BIGINT) AS value"
         )
         for place, s in enumerate((*SALMON, "lingcod", "halibut"), 1)
     ),
 )
-of_creel(
+of_survey(
     "area_series",
     f"SELECT CASE WHEN length(area) > 30 THEN left(area, 30) || '...' ELSE area END AS label,"
     f" {HALF_UP.format(v='total')} AS value FROM ({AREAS.format(s=SUM5)})",
 )
-of_creel(
+of_survey(
     "monthly_series",
     "SELECT month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month]"
     f" AS label, {HALF_UP.format(v='total')} AS value FROM monthly",
@@ -728,11 +728,11 @@ def long(section: str, key: str, measures: list[str], table: str) -> list[str]:
 PAGE = "right(sample_date, 4) >= '1996' AND right(sample_date, 4) <= '2000'"
 FIGURES = "total_catch surveys total_records total_anglers total_chinook total_coho areas".split()
 SQL["dashboard"] = (
-    f"WITH {CREEL.replace('creel AS', 'every_row AS', 1)},"
-    f" creel AS (SELECT * FROM every_row WHERE {PAGE}), {TOTALS}, {MONTHLY},"
+    f"WITH {SURVEY.replace('survey AS', 'every_row AS', 1)},"
+    f" survey AS (SELECT * FROM every_row WHERE {PAGE}), {TOTALS}, {MONTHLY},"
     f" headline AS ({stats()}), weekly AS ({trend('weekly', SALMON)}),"
     f" by_area AS ({AREAS.format(s=SUM5)}),"
-    f" all_species AS (SELECT {', '.join(f'coalesce(sum({s}), 0) AS {s}' for s in SALMON)} FROM creel) "
+    f" all_species AS (SELECT {', '.join(f'coalesce(sum({s}), 0) AS {s}' for s in SALMON)} FROM survey) "
     + " UNION ALL ".join(
         [
             *long("stats", "min_year || '-' || max_year", FIGURES, "headline"),
@@ -744,13 +744,13 @@ SQL["dashboard"] = (
         ]
     )
 )
-of_creel(
+of_survey(
     "collection_report",
-    """SELECT 'effort' AS section, 'total_anglers' AS key, CAST(coalesce(sum(anglers), 0) AS BIGINT) AS value FROM creel
-    UNION ALL SELECT 'effort', 'total_interviews', CAST(sum(interviews) AS BIGINT) FROM creel
-    UNION ALL SELECT 'by_year', right(sample_date, 4), count(*) FROM creel
+    """SELECT 'effort' AS section, 'total_anglers' AS key, CAST(coalesce(sum(anglers), 0) AS BIGINT) AS value FROM survey
+    UNION ALL SELECT 'effort', 'total_interviews', CAST(sum(interviews) AS BIGINT) FROM survey
+    UNION ALL SELECT 'by_year', right(sample_date, 4), count(*) FROM survey
       WHERE length(sample_date) > 0 GROUP BY 2
-    UNION ALL SELECT 'top_areas', * FROM (SELECT catch_area, count(*) FROM creel WHERE catch_area <> ''
+    UNION ALL SELECT 'top_areas', * FROM (SELECT catch_area, count(*) FROM survey WHERE catch_area <> ''
       GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
-    UNION ALL SELECT 'updated', 'records', count(*) FROM creel WHERE changed""",
+    UNION ALL SELECT 'updated', 'records', count(*) FROM survey WHERE changed""",
 )

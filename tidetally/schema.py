@@ -58,6 +58,13 @@ CUSTOM_AREAS = [
     "Tulalip Terminal Area",
 ]
 
+# Texts of a refresh summary and of an export's default name.
+CURRENT_MESSAGE = "Data is current (updated %.1f hours ago)"
+UPDATED_MESSAGE = "Data updated successfully. Total records: {:,}"
+FAILED_MESSAGE = "Error updating data: {}"
+EXPORT_NAME = "survey_export_{:%Y%m%d_%H%M%S}.json"
+
+# The first year landed, the hours between refreshes, the log key of a refresh.
 FIRST_SURVEY_YEAR = 2013
 REFRESH_INTERVAL_HOURS = 24
 LAST_UPDATE = "last_update"

@@ -4,6 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from tidetally.schema import EXPORT_NAME
+
 _INTERNAL = ["data_hash", "created_at", "updated_at", "survey_year"]
 
 
@@ -14,7 +16,7 @@ def exported(store: DataFrame) -> DataFrame:
 
 def export_json(store: DataFrame, folder: str, name: str | None = None) -> str:
     """Writes all records as JSON lines, NULLs kept; returns the path."""
-    name = name or f"creel_export_{datetime.now():%Y%m%d_%H%M%S}.json"
+    name = name or EXPORT_NAME.format(datetime.now())
     path = f"{folder}/{name}"
     exported(store).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
     return path

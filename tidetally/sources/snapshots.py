@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from tidetally.schema import STORE
 from tidetally.sources.run_log import latest_value, scan_log, sink_metadata
-from tidetally.sources.store import read_or_none, write_partitions
+from tidetally.sources.store import read_or_none, copy_partitions
 
 _SNAPSHOT = "snapshot"
 
@@ -21,7 +21,7 @@ def snapshot_save(spark: SparkSession, path: str, uri: str | None, at: datetime)
     if store is None:
         return False
     target = f"{uri}/data/{at:%Y%m%dT%H%M%S%f}"
-    write_partitions(store, target)
+    copy_partitions(store, target)
     sink_metadata(spark, f"{uri}/log", at, _SNAPSHOT, target)
     return True
 
@@ -34,5 +34,5 @@ def snapshot_restore(spark: SparkSession, path: str, uri: str | None) -> bool:
     copy = read_or_none(spark, target, STORE) if target else None
     if copy is None:
         return False
-    write_partitions(copy, path)
+    copy_partitions(copy, path)
     return True

@@ -31,19 +31,13 @@ def with_survey_year(records: DataFrame) -> DataFrame:
     return records.withColumn("survey_year", survey_year(F.col("sample_date")))
 
 
-def write_partitions(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Writes the survey years present in ``records`` and leaves the others alone.
+def _write(table: DataFrame, path: str, mode: str) -> None:
+    """Within a file the rows lie by area, so an area filter skips most row groups.
 
-    Rebalancing gives each year files of even size: a year that holds a third
-    of the table is written by many tasks, small years share one. Within a file
-    the rows lie by area, so an area filter skips most of its row groups; the
-    order also is the one the partitioned write needs anyway.
+    The order also is the one the partitioned write needs anyway.
     """
     (
-        with_survey_year(records)
-        .select(*STORE.fieldNames())
-        .hint("rebalance", "survey_year")
-        .sortWithinPartitions("survey_year", "catch_area", "sample_date")
+        table.sortWithinPartitions("survey_year", "catch_area", "sample_date")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("survey_year")
@@ -51,6 +45,21 @@ def write_partitions(records: DataFrame, path: str, mode: str = "overwrite") ->
     )
 
 
+def write_partitions(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes the survey years present in ``records`` and leaves the others alone.
+
+    Rebalancing gives each year files of even size: a year that holds a third
+    of the table is written by many tasks, small years share one.
+    """
+    table = with_survey_year(records).select(*STORE.fieldNames())
+    _write(table.hint("rebalance", "survey_year"), path, mode)
+
+
+def copy_partitions(table: DataFrame, path: str) -> None:
+    """Copies a table, or replaces the survey years it holds; moves no row between tasks."""
+    _write(table, path, "overwrite")
+
+
 def init_store(spark: SparkSession, path: str) -> DataFrame:
     """Creates the table if it is missing and opens it."""
     if read_or_none(spark, path, STORE) is None:
@@ -72,4 +81,4 @@ def publish(spark: SparkSession, stage: str, path: str) -> None:
     """Copies staged survey years, if any, into the table. May be repeated."""
     staged = read_or_none(spark, stage, STORE)
     if staged is not None:
-        write_partitions(staged, path)
+        copy_partitions(staged, path)
