@@ -2,12 +2,18 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="tidetally-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only on a single machine."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
@@ -15,9 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tidetally-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _local_scratch()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
