@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tidetally.registry.queries import QUERIES
+from tidetally.registry.sql import SQL
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 TYPES = {
     "string": "VARCHAR",
     "bigint": "BIGINT",
@@ -31,6 +32,8 @@ def database():
 
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.items() <= contract.queries().items()
+    assert SQL.items() <= contract.oracle_sql().items()
 
 
 def comparable(rows, names):
