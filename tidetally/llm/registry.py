@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidetally.llm import packing, simhash, simple8b
+from tidetally.llm import mixing, packing, simhash, simple8b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op9_simhash_near_dedup, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_mix_sources, op9_simhash_near_dedup, op10_token_ids)}
 SQL: dict[str, str] = {}
