@@ -155,7 +155,7 @@ def mix_sources(
     targets = source_targets(sized, share, weights, repeats)
     before = Window.partitionBy(F.lit(0)).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(0))
-    upto = F.sum("target").over(before) / F.sum("target").over(everything)
+    upto = F.try_divide(F.sum("target").over(before), F.sum("target").over(everything))
     rounds = F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))
     rest = F.ceil((F.col("words") - F.col("rounds") * F.col("source_size")) / block)
     targets = keep(
