@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidetally.llm import mixing, packing, simhash, simple8b
+from tidetally.llm import compression_quality, mixing, packing, simhash, simple8b, unigram_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,5 +35,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_mix_sources, op9_simhash_near_dedup, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_mix_sources, op6_token_counts, op7_quality_classifier, op9_simhash_near_dedup, op10_token_ids)}
 SQL: dict[str, str] = {}

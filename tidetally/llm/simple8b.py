@@ -54,75 +54,79 @@ FRAMES_DDL = (
 )
 
 
-def pack_block(values: np.ndarray) -> np.ndarray:
-    """Unsigned 64-bit words for ids that all fit into ``ESCAPE_BITS``."""
-    n = len(values)
-    widths = np.zeros(n, np.int64)
-    for bits in range(ESCAPE_BITS):
-        widths += values >= 1 << bits
-    best = np.full(n, len(COUNTS) - 1, np.int64)
+#: Zeros behind each block while it is worked on, so that no word reaches the next one.
+STRIDE = BLOCK_IDS + int(COUNTS[0])
+
+
+def selectors_of(ids: np.ndarray) -> np.ndarray:
+    """For each place the selector of a word that starts there: the most ids that fit."""
+    widths = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    best = np.full(len(ids), len(COUNTS) - 1, np.uint8)
+    widest, count = widths, 1  # the widest of the next ``count`` ids
     for s in range(len(COUNTS) - 2, -1, -1):
-        # A run that ends with the block may be shorter than the word holds.
-        wide = np.concatenate([[0], np.cumsum(widths > WIDTHS[s])])
-        ends = np.minimum(np.arange(n) + COUNTS[s], n)
-        best[wide[ends] == wide[:-1]] = s
+        ahead = int(COUNTS[s]) - count
+        widest = np.maximum(widest[: len(widest) - ahead], widest[ahead:])
+        count += ahead
+        fits = widest <= WIDTHS[s]
+        if not fits.any():  # then more ids in fewer bits don't fit either
+            break
+        best[: len(fits)][fits] = s
+    return best
+
+
+def encode(ids: np.ndarray) -> tuple[bytes, list[int], np.ndarray, np.ndarray]:
+    """(words, first word of each block, places of escapes, their ids)."""
+    n = len(ids)
+    ids = ids.astype(np.uint64)
+    places = np.flatnonzero(ids >> np.uint64(ESCAPE_BITS))
+    escapes = ids[places]
+    ids[places] = 0
+    blocks = -(-n // BLOCK_IDS)
+    padded = np.zeros((blocks + 1, STRIDE), np.uint64)
+    padded[:blocks, :BLOCK_IDS] = np.pad(ids, (0, blocks * BLOCK_IDS - n)).reshape(blocks, BLOCK_IDS)
+    padded = padded.ravel()
+    best = selectors_of(padded)
     steps = COUNTS[best].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
+    starts, offsets = [], []
+    for k in range(blocks):
+        offsets.append(len(starts))
+        at = k * STRIDE
+        end = at + min(BLOCK_IDS, n - k * BLOCK_IDS)
+        while at < end:
+            starts.append(at)
+            at += steps[at]
     starts = np.array(starts, np.int64)
     selectors = best[starts]
     words = selectors.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values.astype(np.uint64), np.zeros(COUNTS[0], np.uint64)])
     for s in np.unique(selectors):
         if WIDTHS[s]:
             rows = np.flatnonzero(selectors == s)
-            ids = padded[starts[rows][:, None] + np.arange(COUNTS[s])]
-            shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            words[rows] |= np.bitwise_or.reduce(ids << shifts, axis=1)
-    return words
+            packed = words[rows]
+            for k in range(COUNTS[s]):
+                packed |= padded[starts[rows] + k] << np.uint64(k * WIDTHS[s])
+            words[rows] = packed
+    return words.astype("<u8").tobytes(), offsets, places, escapes
 
 
-def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ids of one block's words."""
-    selectors = (words >> np.uint64(60)).astype(np.int64)
-    starts = np.cumsum(COUNTS[selectors]) - COUNTS[selectors]
-    out = np.zeros(int(COUNTS[selectors].sum()), np.uint64)
+def decode(words: bytes, offsets: list[int], places, escapes, n: int) -> np.ndarray:
+    """The ``n`` ids that ``encode`` was given; the offsets give each block its place."""
+    data = np.frombuffer(words, "<u8")
+    selectors = (data >> np.uint64(60)).astype(np.int64)
+    blocks = len(offsets)
+    counts = COUNTS[selectors]
+    before = np.cumsum(counts) - counts
+    sizes = np.diff([*offsets, len(data)]) if blocks else np.zeros(0, np.int64)
+    first = before[np.asarray(offsets, np.int64)]
+    starts = before + np.repeat(np.arange(blocks) * STRIDE - first, sizes)
+    out = np.zeros(blocks * STRIDE, np.uint64)
     for s in np.unique(selectors):
         if WIDTHS[s]:
             rows = np.flatnonzero(selectors == s)
-            shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
+            at, own = starts[rows], data[rows]
             mask = np.uint64((1 << int(WIDTHS[s])) - 1)
-            out[starts[rows][:, None] + np.arange(COUNTS[s])] = (words[rows][:, None] >> shifts) & mask
-    return out[:n]
-
-
-def encode(ids: np.ndarray) -> tuple[bytes, list[int], np.ndarray, np.ndarray]:
-    """(words, first word of each block, places of escapes, their ids)."""
-    ids = ids.astype(np.uint64)
-    places = np.flatnonzero(ids >> np.uint64(ESCAPE_BITS))
-    low = ids.copy()
-    low[places] = 0
-    words, offsets, at = [], [], 0
-    for start in range(0, len(ids), BLOCK_IDS):
-        block = pack_block(low[start : start + BLOCK_IDS])
-        words.append(block)
-        offsets.append(at)
-        at += len(block)
-    data = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    return data.astype("<u8").tobytes(), offsets, places, ids[places]
-
-
-def decode(words: bytes, offsets: list[int], places, escapes, n: int) -> np.ndarray:
-    """The ``n`` ids that ``encode`` was given, block by block from the offsets."""
-    data = np.frombuffer(words, "<u8")
-    ends = [*offsets, len(data)][1:]
-    blocks = [
-        unpack_words(data[low:high], min(BLOCK_IDS, n - k * BLOCK_IDS))
-        for k, (low, high) in enumerate(zip(offsets, ends, strict=True))
-    ]
-    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
+            for k in range(COUNTS[s]):
+                out[at + k] = (own >> np.uint64(k * WIDTHS[s])) & mask
+    ids = out.reshape(blocks, STRIDE)[:, :BLOCK_IDS].ravel()[:n]
     ids[np.asarray(places, np.int64)] = np.asarray(escapes, np.uint64)
     return ids
 

@@ -6,74 +6,90 @@ words it has met; every id comes from the tokenizers library.
 """
 
 import re
+from array import array
 from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
-import numpy as np
-
 WORD_BPE = "word_bpe_49k.json"
 
-#: Words kept by a worker; when full, those not met since the last time go.
-KEPT_WORDS = 250_000
+#: Words, and lower-case runs of letters, that a worker keeps in each of two generations.
+KEPT_WORDS = 150_000
+KEPT_RUNS = 300_000
 
 #: Longer words are worked out each time they occur.
 LONGEST_KEPT = 64
 
-#: Letters that lower-casing and composing treat one by one, then marks that form one token run.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&$#*|]*)")
+#: Lower-case letters that composing leaves alone, and marks that form one run after them.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+MARKS = ".,;:!?%&$#*|"
 
 #: The library cuts at these and at no other ASCII character.
 SPACES = re.compile(r"[ \t\n\r]+")
 
 
-class WordIds(dict):
-    """Word to the bytes of its ids (little-endian unsigned 32 bits)."""
+class Recent(dict):
+    """Values by text; when full, those not asked for in a whole generation go."""
 
-    def __init__(self, path: str):
+    def __init__(self, most: int):
         super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        # The same model on a single lower-case run of letters or marks.
-        self.run = Tokenizer.from_file(path)
-        self.run.normalizer = None
-        self.run.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.most = most
         self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            plain = PLAIN.fullmatch(word)
-            if plain:
-                ids = self._run(plain[1].lower()) + (self._run(plain[2]) if plain[2] else b"")
-            else:
-                ids = self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
+        if value is None:
+            value = self.work_out(text)
+        if len(text) <= LONGEST_KEPT:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
-
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            ids = self._bytes(self.run.encode(run, add_special_tokens=False).ids)
-            if len(run) <= LONGEST_KEPT:
-                if len(self.runs) >= KEPT_WORDS:
-                    self.runs.clear()
-                self.runs[run] = ids
-        return ids
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+            self[text] = value
+        return value
+
+
+class RunIds(Recent):
+    """The ids of one lower-case run of letters, or of marks."""
+
+    def __init__(self, path: str):
+        super().__init__(KEPT_RUNS)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.normalizer = None
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+
+    def work_out(self, text: str) -> bytes:
+        if text.isascii():  # bytes that stand for themselves
+            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class WordIds(Recent):
+    """Word to the bytes of its ids (unsigned 32 bits)."""
+
+    def __init__(self, path: str):
+        super().__init__(KEPT_WORDS)
+        self.whole = Tokenizer.from_file(path)
+        self.runs = RunIds(path)
+
+    def work_out(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        known = letters in self.runs or letters in self.runs.older
+        if known or LETTERS.fullmatch(letters):
+            marks = word[len(letters) :]
+            return self.runs[letters] + self.runs[marks] if marks else self.runs[letters]
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str | None) -> bytes:
         """The ids of a whole text (null: none), as bytes."""
         if not text:
             return b""
+        # Within Latin-1 lower-casing goes letter by letter, so it can come first; the names of
+        # special tokens, though, are looked for in the text as it is.
+        if "<|" not in text and len(text.encode("latin-1", "ignore")) == len(text):
+            text = text.lower()
         return b"".join(map(self.__getitem__, SPACES.split(text)))
 
 
