@@ -1,8 +1,18 @@
 """The contract's queries over the driver's tables; SQL where it can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidetally.llm import compression_quality, mixing, packing, simhash, simple8b, unigram_counts
+from tidetally.llm import (
+    compression_quality,
+    exact_topk,
+    hnsw,
+    mixing,
+    packing,
+    simhash,
+    simple8b,
+    unigram_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +23,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +41,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +53,35 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_mix_sources, op6_token_counts, op7_quality_classifier, op9_simhash_near_dedup, op10_token_ids)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op3_hnsw,
+        op5_mix_sources,
+        op6_token_counts,
+        op7_quality_classifier,
+        op8_exact_top_k,
+        op9_simhash_near_dedup,
+        op10_token_ids,
+    )
+}
+
+SQL = {
+    "op8_exact_top_k": """
+        WITH whole AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
