@@ -110,7 +110,7 @@ def test_recall_unequal_norms():
     graph = hnsw.build(hnsw.equal_norms(x), 1)
     entry = int(np.flatnonzero((graph[-1] >= 0).any(axis=1))[0]) if (graph[-1] >= 0).any() else 0
     q = rng.normal(size=(100, 24))
-    found = hnsw.search(hnsw.equal_norms(x), graph, entry, q, 64)[:, :20]
+    found = hnsw.search(hnsw.equal_norms(x), graph, entry, q, hnsw.SEARCH_WIDTH)[:, :20]
     exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, exact)]) >= 0.9
 

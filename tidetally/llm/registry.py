@@ -9,6 +9,7 @@ from tidetally.llm import (
     hnsw,
     mixing,
     packing,
+    prefix_free,
     simhash,
     simple8b,
     unigram_counts,
@@ -27,6 +28,10 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     for f in (
         op2_best_fit_packing,
         op3_hnsw,
+        op4_suffix_array_dedup,
         op5_mix_sources,
         op6_token_counts,
         op7_quality_classifier,
