@@ -141,9 +141,10 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, takes).
 
-    Documents: doc_id, row_id (tells equal rows apart), size, source_size,
-    target, taken. Takes, the mix itself: row_id, slot (its place in the mix),
-    from_word and words.
+    Documents: doc_id, row_id (tells equal rows apart), shuffled (id and text
+    hashed), size, source_size, target, taken. Takes, the mix itself: row_id,
+    round (how often its source was gone through before), slot (its place in the
+    mix), from_word and words.
     """
     sized = docs.select(
         "doc_id",
@@ -208,16 +209,17 @@ def mix_sources(
     start = F.greatest("begins", F.col("block") * block)
     end = F.least(F.col("begins") + F.col("size"), (F.col("block") + 1) * block, "stop")
     takes = (
-        pieces.join(slots.select("number", "block", "slot", "stop"), ["number", "block"])
+        pieces.join(slots.select("number", "block", "round", "slot", "stop"), ["number", "block"])
         .withColumn("words", end - start)
         .where("words > 0")
-        .select("row_id", "slot", (start - F.col("begins")).alias("from_word"), "words")
+        .select("row_id", "round", "slot", (start - F.col("begins")).alias("from_word"), "words")
     )
     takes = keep(takes, "takes")
     taken = takes.groupBy("row_id").agg(F.sum("words").alias("taken"))
     documents = placed.join(taken, "row_id", "left").select(
         "doc_id",
         "row_id",
+        "shuffled",
         "size",
         "source_size",
         "target",
@@ -229,4 +231,32 @@ def mix_sources(
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     documents, _ = mix_sources(docs)
-    return documents.drop("row_id")
+    return documents.drop("row_id", "shuffled")
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """The mix as documents, all columns: a row for each round that takes words of one.
+
+    A document that is taken whole keeps its text; of others the taken words are
+    left, with a space between them.
+    """
+    documents, takes = mix_sources(docs)
+    of_round = takes.groupBy("row_id", "round").agg(
+        F.min("from_word").alias("from_word"), F.sum("words").alias("words")
+    )
+    parts = documents.join(of_round, "row_id").select("shuffled", "size", "from_word", "words")
+    keyed = docs.withColumn("shuffled", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    # Equal rows are told apart by their takes.
+    joined = keyed.dropDuplicates(["shuffled"]).select("shuffled", F.struct(*docs.columns).alias("doc"))
+    some = F.array_join(
+        F.slice(
+            F.regexp_extract_all(F.col("doc.text"), F.lit(f"({WORD})")),
+            (F.col("from_word") + 1).cast("int"),
+            F.col("words").cast("int"),
+        ),
+        " ",
+    )
+    text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(some)
+    return joined.join(parts, "shuffled").select(
+        *[text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns]
+    )

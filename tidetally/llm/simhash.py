@@ -57,15 +57,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id and fp, the fingerprint as a signed number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """Per row: doc_id, row (its id and text hashed) and fp, the fingerprint as a signed number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             marks = [fingerprint(text, shingle) for text in column(batch, "text")]
-            yield record(schema, column(batch, "doc_id"), np.array(marks, np.uint64).view(np.int64))
+            own = np.array(marks, np.uint64).view(np.int64)
+            yield record(schema, column(batch, "doc_id"), column(batch, "row"), own)
 
-    return docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    return rows.mapInArrow(mark, "doc_id long, row long, fp long")
 
 
 def _variants(rows: DataFrame, level: int) -> DataFrame:
@@ -178,18 +180,44 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return rows
 
 
+def classes(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): each distinct fingerprint of ``marked`` with its component's."""
+    distinct = keep(marked.select("fp").distinct(), "distinct")
+    roots = components(fingerprint_links(distinct, max_bits))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     marked = keep(fingerprints(docs, shingle), "fingerprints")
-    distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(fingerprint_links(distinct, max_bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    roots = classes(marked, max_bits)
+    low = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    lowest = roots.join(low, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = roots.join(lowest, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents, all columns, one of each component: that with the smallest doc_id.
+
+    A document is told by its id and text; of equal ids the smallest hash stays,
+    and a null id only where all are null.
+    """
+    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    marked = keep(fingerprints(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    smallest = marked.groupBy("fp").agg(first)
+    kept = (
+        classes(marked, max_bits)
+        .join(smallest, "fp")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.row").alias("row"))
+    )
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
