@@ -1,10 +1,64 @@
-"""Training-data pipeline over ``documents``."""
+"""Training-data pipeline over ``documents``: five stages, each written before the next.
+
+The quality classifier rejects documents, SimHash leaves one of each group of
+near duplicates, repeated passages are cut from all documents but one, sources
+are mixed to their target weights, and the mix is packed into sequences. All
+stages but the last return the columns of ``documents``; ``n_chars`` follows the
+text.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidetally.llm import compact_windows, compression_quality, mixing, packing, simhash
+from tidetally.session import keep
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"n_chars": F.length("text").cast("long")}).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return compression_quality.keep_good(docs, labels)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.one_of_each(docs, simhash.SHINGLE, simhash.MAX_BITS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that another one keeps."""
+    return _measured(compact_windows.without_repeats(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time words of a document are taken."""
+    return _measured(mixing.mixed_texts(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", substrings),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+# Hashing, compression and tokenizing are beyond SQL; tests hold a plain version against it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pipeline's packed pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{number + 1}")
+    return docs
