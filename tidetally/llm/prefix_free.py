@@ -339,17 +339,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     pieces = texts.select("row", "text").mapInArrow(
         _pieces, "row long, family long, entry long, times int"
     )
-    families = (
+    # Stored counts are joined from outside, so that the join can split a family of any size.
+    families = keep(
         pieces.groupBy("family")
         .agg(F.sum("times").alias("n"), F.min("entry").alias("a"), F.max("entry").alias("b"))
         .where("n > 1")
-        .select("family", (F.col("a") == F.col("b")).alias("single"))
+        .select("family", (F.col("a") == F.col("b")).alias("single")),
+        "family-counts",
     )
     repeated = keep(pieces.join(families, "family").drop("family"), "families")
-    entries = (
+    entries = keep(
         repeated.where("not single")
         .groupBy("entry")
-        .agg(F.sum("times").alias("n"), F.min("row").alias("partner"))
+        .agg(F.sum("times").alias("n"), F.min("row").alias("partner")),
+        "entry-counts",
     )
     state = (
         F.when(F.col("n") < 2, NAMED)
