@@ -15,8 +15,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words, and lower-case runs of letters, that a worker keeps in each of two generations.
-KEPT_WORDS = 150_000
-KEPT_RUNS = 300_000
+KEPT_WORDS = 300_000
+KEPT_RUNS = 400_000
 
 #: Longer words are worked out each time they occur.
 LONGEST_KEPT = 64
@@ -25,8 +25,9 @@ LONGEST_KEPT = 64
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 MARKS = ".,;:!?%&$#*|"
 
-#: The library cuts at these and at no other ASCII character.
-SPACES = re.compile(r"[ \t\n\r]+")
+#: White space to Python and not to the library; texts with one are cut at plain spaces only.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+SPACES = re.compile("[ \t\n\r]+")
 
 
 class Recent(dict):
@@ -90,7 +91,8 @@ class WordIds(Recent):
         # special tokens, though, are looked for in the text as it is.
         if "<|" not in text and len(text.encode("latin-1", "ignore")) == len(text):
             text = text.lower()
-        return b"".join(map(self.__getitem__, SPACES.split(text)))
+        words = SPACES.split(text) if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
