@@ -36,7 +36,7 @@ LINKS = (32, 16)
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 192
 #: Nodes expanded at a time, and added at a time.
-BEAM = 4
+BEAM = 8
 BATCH = 256
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
