@@ -64,3 +64,38 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.lit("clash"))
     assert rows(prefix_free.remove_repeats(docs)) == plain(texts)
     assert prefix_free.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_entries_name_every_byte_of_a_piece():
+    """Two texts that differ in one byte, at each place of a piece far from its trigger."""
+    rng = random.Random(4)
+    wide = prefix_free.STEP - 1
+    found = None
+    while found is None:
+        data = bytes(rng.choice(b"abcdefgh") for _ in range(60_000))
+        p = prefix_free.parse(data, [len(data)])
+        at = {(int(s), int(e)): int(n) for s, e, n in zip(p.first, p.last, p.entry, strict=True)}
+        # The third step: its windows begin 256 bytes or more before the trigger.
+        marks = prefix_free.names_by_doubling(data)[prefix_free.TRIGGER] >> prefix_free.np.uint64(40)
+        places = set(prefix_free.np.flatnonzero(marks % prefix_free.np.uint64(64) == 0).tolist())
+        for s, e in at:
+            ahead = [k for k in range(s, e + 2 * prefix_free.STEP + 1) if k in places]
+            if e - s == wide and ahead == [e + 2 * prefix_free.STEP] and s >= 64:
+                found = s, e
+                break
+    s, e = found
+    begin, end = s - 64, e + prefix_free.WINDOW + 64
+    piece = data[begin:end]
+    first = prefix_free.parse(piece, [len(piece)])
+
+    def entries(p):
+        return {(int(a), int(b)): int(n) for a, b, n in zip(p.first, p.last, p.entry, strict=True)}
+
+    base = entries(first)
+    assert (64, 64 + wide) in base
+    for k in range(64, 64 + wide + prefix_free.WINDOW):
+        other = piece[:k] + b"!" + piece[k + 1 :]
+        changed = entries(prefix_free.parse(other, [len(other)]))
+        for (a, b), name in base.items():
+            if a <= k < b + prefix_free.WINDOW:
+                assert changed.get((a, b)) != name, k - a

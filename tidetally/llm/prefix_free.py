@@ -137,7 +137,9 @@ def parse(data: bytes, ends: np.ndarray) -> Parse:
             n, s, e = at[good], first[good], last[good]
             family = mix(names[half][n], names[half][n + shared - half] + np.uint64(8 * step + kind))
             offsets = ((n - s) * 1024 + (n - e)).astype(np.uint64)
-            entry = mix(names[256][s], names[256][e + WINDOW - 256]) + offsets * K1
+            # Three names of 256 bytes: the first and the last leave out some in between.
+            ends_named = mix(names[256][s], names[256][e + WINDOW - 256])
+            entry = mix(ends_named, names[256][s + STEP]) + offsets * K1
             found.append((documents[owner[good]], s, e, family, mix(entry, family)))
         first = previous + 1
         last = np.minimum(at - REACH, high[owner])
