@@ -1,5 +1,6 @@
 """Unigram counts against the tokenizers library; the classifier on its held-out fold."""
 
+import random
 import zlib
 
 import pytest
@@ -82,3 +83,18 @@ def test_quality_edge_rows(spark):
     assert quality.quality_scores(docs.limit(0), labels).collect() == []
     mixed = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
     assert quality.keep_good(docs, mixed).columns == docs.columns
+
+
+def test_quality_of_texts_that_open_alike(spark):
+    """The first 2,500 bytes are the same in all; what is good or bad about a text comes later."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    opening = " ".join(rng.choice(words) for _ in range(500))[:2500]
+    rows = []
+    for i in range(400):
+        own = words[:200] if i % 2 else words[200:]
+        rows.append((i, opening + " " + " ".join(rng.choice(own) for _ in range(200))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    held = quality.quality_scores(docs, labels).where("held_out").collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held) >= 0.9 * len(held)

@@ -6,9 +6,9 @@ well the text compresses at all (a text of a few repeated words fits either
 dictionary) and over its length turns it into a probability.
 
 Labels are learnt from a bounded sample: the ``SAMPLE`` labelled rows of each
-class with the smallest hashes; half of them (by hash) train the dictionaries on
-their first ``SAMPLE_BYTES`` bytes, the other half, whole, the curve. Every text
-is scored whole.
+class with the smallest hashes; half of them (by hash) train the dictionaries, cut
+into samples of ``SAMPLE_BYTES`` bytes, the other half the curve. Sampled texts
+are learnt from whole, and every text is scored whole.
 
 Rows: null and empty texts get the score of size zero; a text that occurs often
 gets the same score each time; rows whose label or id is null are not learnt
@@ -30,7 +30,7 @@ from tidetally.llm.batches import column, record, slices
 #: Labelled rows learnt from, of each class, at most.
 SAMPLE = 4000
 
-#: Bytes of a sampled text that go into a dictionary's training, and of the dictionary.
+#: Bytes of a sample that a dictionary is trained on, at most, and of the dictionary.
 SAMPLE_BYTES = 2000
 DICTIONARY_BYTES = 110_000
 
@@ -44,6 +44,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def cut(text: str) -> list[bytes]:
+    """The whole text in samples."""
+    data = text.encode()
+    return [data[at : at + SAMPLE_BYTES] for at in range(0, max(len(data), 1), SAMPLE_BYTES)]
+
+
 def dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
     total = sum(map(len, samples))
@@ -122,21 +128,23 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[DataFrame]:
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[bytes, bytes, Curve | float]:
     """(good dictionary, bad dictionary, curve); instead of a curve the share of good rows.
 
-    Dictionaries come from the sample's beginnings; for the curve the sample's
-    whole texts are measured where they are and only the numbers come here.
+    Dictionaries come from one half's whole texts; for the curve the other half's
+    are measured where they are and only the numbers come here.
     """
     parts = sample(docs, labels, size)
     both = parts[0].union(parts[1])
-    begun = both.where("first_half").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "quality")
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in begun.orderBy(F.xxhash64("text"), "quality").collect():
-        texts[row["quality"]].append(row["text"].encode()[:SAMPLE_BYTES])
-    good, bad = dictionary(texts[1]), dictionary(texts[0])
+    trained = both.where("first_half").select("text", "quality")
+    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    shown = []
+    for row in trained.orderBy(F.xxhash64("text"), "quality").toLocalIterator():
+        samples[row["quality"]] += cut(row["text"])
+        shown.append(float(row["quality"]))
+    good, bad = dictionary(samples[1]), dictionary(samples[0])
     rows = measured(both.where("not first_half"), good, bad).select("quality", "x", "y", "z")
     numbers = rows.orderBy("quality", "x", "y", "z").collect()
     quality = np.array([r["quality"] for r in numbers], float)
     if len(set(quality)) < 2:
-        seen = [*quality, *([1.0] * len(texts[1])), *([0.0] * len(texts[0]))]
+        seen = [*quality, *shown]
         return good, bad, float(np.mean(seen)) if seen else 0.5
     return good, bad, Curve(np.array([(r["x"], r["y"], r["z"]) for r in numbers]), quality)
 
