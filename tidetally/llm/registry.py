@@ -7,6 +7,7 @@ from tidetally.llm import (
     compact_windows,
     compression_quality,
     exact_topk,
+    hard_negatives,
     hnsw,
     mixing,
     packing,
@@ -63,6 +64,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +84,7 @@ QUERIES = {
         op8_exact_top_k,
         op9_simhash_near_dedup,
         op10_token_ids,
+        op11_hard_negatives,
     )
 }
 
@@ -96,4 +105,33 @@ SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_hard_negatives": """
+        WITH usable AS (
+            SELECT row_number() OVER () AS row, vec_id,
+                CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.row AS anchor_row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own,
+                CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM usable a JOIN usable c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+            WHERE a.vec_id % 100 = 0
+        ), near AS (
+            SELECT anchor_row, anchor_id, vec_id, score, row_number() OVER (
+                PARTITION BY anchor_row ORDER BY score DESC, vec_id) AS place
+            FROM scored WHERE own
+        ), inside AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id,
+                p.score AS positive_score, n.score AS negative_score,
+                CAST(row_number() OVER (PARTITION BY p.anchor_row, p.place
+                    ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+            FROM near p JOIN scored n ON n.anchor_row = p.anchor_row AND NOT n.own
+                AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+            WHERE p.place <= 5
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+        FROM inside WHERE rank <= 10
+    """,
 }
