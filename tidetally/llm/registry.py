@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidetally.llm import (
     compact_windows,
     compression_quality,
+    conversation_repair,
     exact_topk,
     hard_negatives,
     hnsw,
@@ -71,6 +72,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digest(
+        conversations, conversation_repair.damaged(conversations)
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +93,7 @@ QUERIES = {
         op9_simhash_near_dedup,
         op10_token_ids,
         op11_hard_negatives,
+        op12_conversation_repair,
     )
 }
 
