@@ -12,6 +12,7 @@ from tidetally.llm import (
     hnsw,
     mixing,
     packing,
+    personal_data,
     prefix_free,
     simhash,
     simple8b,
@@ -79,6 +80,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES = {
         op10_token_ids,
         op11_hard_negatives,
         op12_conversation_repair,
+        op13_personal_data,
     )
 }
 
