@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidetally.schema import HEADERS
+from tidetally.sources import quoted_csv
 
 _NUMBER = r"(?:batch_no|sample_date)=(\d+)"
 # The path up to the batch's own file or folder.
@@ -75,11 +76,7 @@ def read_batch(spark: SparkSession, batch_no: int, root: str, split: bool) -> Da
     header, or the read fails instead of mixing columns up.
     """
     rows = (
-        spark.read.option("header", "true")
-        .option("enforceSchema", "false")
-        .option("multiLine", str(not split).lower())
-        .option("escape", '"')
-        .csv(root)
+        spark.read.options(**quoted_csv.OPTIONS).option("multiLine", str(not split).lower()).csv(root)
     )
     if not rows.columns:
         return None
@@ -92,21 +89,36 @@ def read_batch(spark: SparkSession, batch_no: int, root: str, split: bool) -> Da
     )
 
 
+def read_quoted_batch(spark: SparkSession, batch_no: int, root: str) -> DataFrame | None:
+    """One batch with line breaks inside quotes: in splits, or file by file where that fails."""
+    whole = read_batch(spark, batch_no, root, split=False)
+    if whole is None:
+        return None
+    columns = whole.columns[3:]
+    rows = quoted_csv.read_in_splits(spark, root, columns)
+    if rows is None:
+        return whole
+    return rows.select(F.lit(batch_no).alias("batch_no"), "part", "seq", *(f"`{c}`" for c in columns))
+
+
 def scan_csv_batches(
     spark: SparkSession, manifest: DataFrame, split_over: int = SPLIT_OVER
 ) -> DataFrame:
     """All landed batches of the manifest as one frame of text columns.
 
     There is one read per batch because columns are bound by that batch's own
-    header. A file over ``split_over`` bytes is read in splits, unless it has
-    line breaks inside quotes; ``part`` and ``seq`` give the file order either way.
+    header. A file over ``split_over`` bytes is read in splits, also one with line
+    breaks inside quotes; ``part`` and ``seq`` give the file order either way.
     """
     frames = []
     for batch in sorted(manifest.collect(), key=lambda row: (row.batch_no, row.root)):
         if not batch.bytes:
             continue
-        split = batch.largest > split_over and not has_quoted_newlines(spark, batch.root)
-        frame = read_batch(spark, batch.batch_no, batch.root, split)
+        split = batch.largest > split_over
+        if split and has_quoted_newlines(spark, batch.root):
+            frame = read_quoted_batch(spark, batch.batch_no, batch.root)
+        else:
+            frame = read_batch(spark, batch.batch_no, batch.root, split)
         if frame is not None:
             frames.append(frame)
     empty = spark.createDataFrame([], RAW)
