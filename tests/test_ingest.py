@@ -157,12 +157,11 @@ def test_first_repeats_and_summary(spark):
     assert [(r.row, r.more) for r in shown if not r.same_data] == [(10, 0)]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_key_match(spark, hot_rows):
+def test_key_match(spark):
     first, second = random_rows(21), random_rows(22, keys=20)
     table = load_row_by_row(first)[1]
     stored = ingest.upsert_latest(incoming(spark, first), run_at=AT)
-    got = ingest.key_match(incoming(spark, second), stored, hot_rows=hot_rows).collect()
+    got = ingest.key_match(incoming(spark, second), stored).collect()
     assert len(got) == len(second)
     found = {(r.batch_no, r.seq): r.stored_hash for r in got}
     for batch_no, seq, key, _ in second:
@@ -172,10 +171,40 @@ def test_key_match(spark, hot_rows):
 
 def test_hot_keys_are_split_and_others_are_not(spark):
     df = incoming(spark, random_rows(8))
-    ordinary, hot = skew.split_hot(df, KEY, 60)
-    assert ordinary.count() + hot.count() == df.count()
-    assert hot.select(*KEY).distinct().count() == 1
-    assert ordinary.groupBy(*KEY).count().agg(F.max("count")).first()[0] <= 60
+    cut, any_hot = skew.with_piece(df, KEY, 60, F.lit(False))
+    assert any_hot and cut.count() == df.count()
+    assert cut.where("piece IS NOT NULL").select(*KEY).distinct().count() == 1
+    assert cut.where("piece IS NULL").groupBy(*KEY).count().agg(F.max("count")).first()[0] <= 60
+    assert not skew.with_piece(df, KEY, 10**6, F.lit(False))[1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classify_moves_the_rows_once(spark, tmp_path):
+    """One scan, one exchange, one window; with hot keys one more scan for their pieces' last rows."""
+    incoming(spark, random_rows(9)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    plan = plan_of(ingest.upsert_classify(df))
+    assert [plan.count(x) for x in ("FileScan", "Exchange", "Window ")] == [1, 1, 1]
+    plan = plan_of(ingest.upsert_classify(df, hot_rows=60))
+    assert plan.count("FileScan") == 2 and plan.count("Window ") == 2
+
+
+def test_rows_that_count_up_are_numbered_where_they_lie(spark, tmp_path):
+    rows = [(b, p, 100 * p + i, *K, "1") for b in (1, 2) for p in (3, 4) for i in range(50)]
+    schema = "batch_no int, part string, seq bigint, " + ", ".join(
+        f"{name} {'bigint' if name in ('interviews', 'anglers') else 'string'}" for name in KEY
+    )
+    df = spark.createDataFrame(rows, f"{schema}, data_hash string")
+    df.write.parquet(str(tmp_path / "rows"))
+    numbered = ingest.seq_in_batch(spark.read.parquet(str(tmp_path / "rows")))
+    plan = plan_of(numbered)
+    rows_side = plan.split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in rows_side and "Window" not in rows_side
+    got = sorted((r.batch_no, r.part, r.seq, r.row) for r in numbered.collect())
+    assert got == [(b, str(p), 100 * p + i, 50 * (p - 3) + i + 1) for b in (1, 2) for p in (3, 4) for i in range(50)]
 
 
 def test_project_record_binds_by_header(spark):

@@ -1,10 +1,13 @@
 """Repeated keys within one landed file."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetally.operators.ingest import seq_in_batch
-from tidetally.operators.skew import HOT_ROWS, join_first
+from tidetally.operators.ingest import same_key, seq_in_batch
+from tidetally.operators.skew import HOT_ROWS
 from tidetally.schema import KEY
 
 
@@ -24,10 +27,10 @@ def inspect_duplicates(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
             F.min_by("data_hash", "row").alias("first_hash"),
         )
         .where("n > 1")
-        .drop("n")
+        .select(*[F.col(name).alias(f"first_{name}") for name in key], "first_row", "first_hash")
     )
-    joined = join_first(rows, firsts, key, "row", "inner", True, hot_rows)
-    return joined.where("row > first_row").select(
+    same = reduce(and_, [same_key(name, f"first_{name}", True) for name in key])
+    return rows.join(firsts, same & (F.col("row") > F.col("first_row"))).select(
         *key,
         "row",
         "first_row",

@@ -8,7 +8,7 @@ plain aggregate, folded on the map side.
 
 from datetime import datetime
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from tidetally.functions.cleaning import (
     stored_float,
 )
 from tidetally.operators.aggregates import record_count
-from tidetally.operators.skew import HOT_ROWS, join_first, with_previous, with_row_number
+from tidetally.operators.skew import HOT_ROWS, with_previous, with_row_number
 from tidetally.schema import HEADERS, KEY, POSITION, VALUES
 
 # A batch larger than this that brings nothing but duplicates ends the load.
@@ -75,20 +75,26 @@ def _by_key_nulls(df: DataFrame, null_safe_key: bool) -> tuple[DataFrame | None,
 
 
 def key_match(
-    incoming: DataFrame,
-    existing: DataFrame,
-    null_safe_key: bool = False,
-    hot_rows: int = HOT_ROWS,
+    incoming: DataFrame, existing: DataFrame, null_safe_key: bool = False
 ) -> DataFrame:
     """Every incoming row with the hash stored under its key, NULL where none matches.
 
     The table holds a key once, except for keys with a NULL part; those match
-    only under ``null_safe_key``, where the first stored row counts.
+    only under ``null_safe_key``, where the first stored row counts. Incoming
+    rows of one key are split by the planner's handling of skewed joins.
     """
     stored = existing.select(*KEY, "data_hash").groupBy(*KEY).agg(
         F.min("data_hash").alias("stored_hash")
     )
-    return join_first(incoming, stored, KEY, "seq", "left", null_safe_key, hot_rows)
+    return incoming.join(
+        stored.select(*[F.col(name).alias(f"stored_{name}") for name in KEY], "stored_hash"),
+        reduce(and_, [same_key(name, f"stored_{name}", null_safe_key) for name in KEY]),
+        "left",
+    ).select(*incoming.columns, "stored_hash")
+
+
+def same_key(one: str, other: str, null_safe: bool) -> Column:
+    return F.col(one).eqNullSafe(F.col(other)) if null_safe else F.col(one) == F.col(other)
 
 
 def upsert_classify(
@@ -101,11 +107,11 @@ def upsert_classify(
 
     ``inserted`` for a new key, ``updated`` for another hash than before,
     ``duplicate`` for the same hash. A key with a NULL part matches nothing, so
-    its rows are always inserted and are not shuffled; ``null_safe_key`` lets
-    NULLs match. Only key, position and hash go through the shuffle.
+    its rows are always inserted; ``null_safe_key`` lets NULLs match. Only key,
+    position and hash go through the shuffle, once.
     """
-    thin = incoming.select(*POSITION, *KEY, "data_hash")
-    loose, matched = _by_key_nulls(thin, null_safe_key)
+    rows = incoming.select(*POSITION, *KEY, "data_hash")
+    loose = F.lit(False) if null_safe_key else _null_key()
     if existing is not None:
         stored = existing.select(
             F.lit(0).alias("batch_no"),
@@ -114,8 +120,8 @@ def upsert_classify(
             *KEY,
             "data_hash",
         )
-        matched = _by_key_nulls(stored, null_safe_key)[1].unionByName(matched)
-    linked = with_previous(matched, KEY, "data_hash", "old_hash", hot_rows)
+        rows = stored.where(~loose).unionByName(rows)
+    linked = with_previous(rows, KEY, "data_hash", "old_hash", hot_rows, loose)
     if existing is not None:
         linked = linked.where("batch_no > 0")
     status = (
@@ -123,14 +129,7 @@ def upsert_classify(
         .when(F.col("old_hash") != F.col("data_hash"), "updated")
         .otherwise("duplicate")
     )
-    classified = linked.withColumn("status", status)
-    if loose is not None:
-        classified = classified.unionByName(
-            loose.withColumn("old_hash", F.lit(None).cast("string")).withColumn(
-                "status", F.lit("inserted")
-            )
-        )
-    return classified
+    return linked.withColumn("status", status)
 
 
 def upsert_latest(

@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetally.schema import POSITION
+from tidetally.session import keep
 
 # Rows of one key a single task is given.
 HOT_ROWS = 1_000_000
 
-# Copies made of a row that meets a hot key, so that many tasks share the key.
-SALTS = 256
-
 # Most ids marked as hot, and with that the most rows ever broadcast (16 bytes
 # each). Keys beyond it have fewer rows than all of these and stay unsplit.
 MAX_HOT_KEYS = 100_000
@@ -46,39 +44,74 @@ def hot_keys(rows: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame:
     )
 
 
-def split_hot(
-    rows: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys); neither moves a row."""
-    hot = F.broadcast(hot_keys(rows, key, hot_rows))
-    keyed = rows.withColumn("key_id", F.xxhash64(*key))
-    return (
-        keyed.join(hot, "key_id", "left_anti").drop("key_id"),
-        keyed.join(hot, "key_id", "left_semi").drop("key_id"),
-    )
+def with_piece(
+    rows: DataFrame, key: Sequence[str], hot_rows: int, apart: Column
+) -> tuple[DataFrame, bool]:
+    """Adds ``piece``, and whether there are hot keys: NULL for ordinary keys, consecutive pieces for hot ones.
+
+    Counts the keys' rows in a job of its own, so the list of hot keys is known
+    and small when it is broadcast. Rows that are ``apart`` are a piece each.
+    """
+    found = hot_keys(rows.where(~apart), key, hot_rows).collect()
+    alone = F.when(apart, piece(1))
+    if not found:
+        return rows.withColumn("piece", alone), False
+    hot = rows.sparkSession.createDataFrame(found, "key_id long").withColumn("hot", F.lit(True))
+    marked = rows.withColumn("key_id", F.xxhash64(*key)).join(F.broadcast(hot), "key_id", "left")
+    cut = marked.withColumn("piece", alone.when(F.col("hot") & ~apart, piece(hot_rows)))
+    return cut.drop("key_id", "hot"), True
 
 
 def with_previous(
-    rows: DataFrame, key: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS
+    rows: DataFrame,
+    key: Sequence[str],
+    value: str,
+    name: str,
+    hot_rows: int = HOT_ROWS,
+    apart: Column | None = None,
 ) -> DataFrame:
-    """Adds the value of the row before it under the same key (NULL for the first)."""
-    ordinary, hot = split_hot(rows, key, hot_rows)
-    in_key = Window.partitionBy(*key).orderBy(*POSITION)
-    plain = ordinary.withColumn(name, F.lag(value).over(in_key))
-
-    # Hot keys: first within the pieces, then across them on the pieces' first rows.
-    in_piece = Window.partitionBy(*key, "piece").orderBy(*POSITION)
-    whole_piece = in_piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut = (
-        hot.withColumn("piece", piece(hot_rows))
-        .withColumn("place", F.row_number().over(in_piece))
-        .withColumn(name, F.lag(value).over(in_piece))
-        .withColumn("tail", F.last(value).over(whole_piece))
+    """Adds the value of the row before it under the same key (NULL for the first).
+
+    One window over (key, piece). A piece of a hot key begins with a copy of the
+    last row of the piece before, so the window needs no other rows; those last
+    rows are an aggregate, folded on the map side. Rows that are ``apart`` have no
+    row before them and are dealt out evenly. ``rows`` is read once more to count
+    the keys, and once for the hot ones if there are any: pass a stored table.
+    """
+    apart = F.lit(False) if apart is None else apart
+    cut, any_hot = with_piece(rows, key, hot_rows, apart)
+    order = list(POSITION)
+    if any_hot:
+        tails = cut.where(F.col("piece").isNotNull() & ~apart)
+        tails = tails.groupBy(*key, "piece").agg(
+            F.max_by(value, F.struct(*POSITION)).alias(value)
+        )
+        next_piece = F.lead("piece").over(Window.partitionBy(*key).orderBy("piece"))
+        links = tails.withColumn("piece", next_piece).where("piece IS NOT NULL")
+        cut = cut.withColumn("link", F.lit(False)).unionByName(
+            links.withColumn("link", F.lit(True)), allowMissingColumns=True
+        )
+        order = [F.desc("link"), *POSITION]
+    in_piece = Window.partitionBy(*key, "piece").orderBy(*order)
+    linked = cut.withColumn(name, F.lag(value).over(in_piece))
+    if any_hot:
+        linked = linked.where(~F.col("link")).drop("link")
+    return linked.drop("piece")
+
+
+def _numbered_by_place(rows: DataFrame, group: Sequence[str], parts: DataFrame, name: str) -> DataFrame:
+    """Numbers rows whose ``seq`` counts up by one within a part: no row is moved."""
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.select(
+        *group,
+        "part",
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("low") + 1).alias("shift"),
+    )
+    return (
+        rows.join(begins, [*group, "part"])
+        .withColumn(name, F.col("seq") + F.col("shift"))
+        .select(*rows.columns, name)
     )
-    inner = cut.where("place > 1")
-    first = cut.where("place = 1").withColumn(name, F.lag("tail").over(in_key))
-    helpers = ["piece", "place", "tail"]
-    return plain.unionByName(inner.drop(*helpers)).unionByName(first.drop(*helpers))
 
 
 def with_row_number(
@@ -86,10 +119,20 @@ def with_row_number(
 ) -> DataFrame:
     """Numbers the rows of each group from 1 in landing order.
 
-    Numbers are given within pieces and shifted by the rows of the pieces
-    before; the pieces' counts are a small table, and the join finds the rows
-    already partitioned by piece.
+    As they are read, rows count up within their part (a split of a file), so a
+    row's number is its place in the part and the rows of the parts before: a
+    table of one row a part, worked out first. Where numbers are missing, rows
+    are numbered within pieces of at most ``hot_rows`` by a window and shifted
+    by the rows of the pieces before.
     """
+    parts = keep(
+        rows.groupBy(*group, "part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")
+        ),
+        "parts",
+    )
+    if parts.where("high - low + 1 <> n").isEmpty():
+        return _numbered_by_place(rows, group, parts, name)
     keys = [*group, "piece"]
     cut = rows.withColumn("piece", piece(hot_rows))
     earlier = (
@@ -109,36 +152,3 @@ def with_row_number(
         .withColumn(name, F.col("offset") + F.col("place"))
         .drop("piece", "place", "offset")
     )
-
-
-def join_first(
-    rows: DataFrame,
-    per_key: DataFrame,
-    key: Sequence[str],
-    spread: str,
-    how: str,
-    null_safe: bool,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Joins rows to a table with one row per key (``inner`` or ``left``).
-
-    Rows of a hot key are dealt out by the number in ``spread``, and the row
-    they meet is copied once per share; all other keys join as they are.
-    """
-    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("hot", F.lit(True)))
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("key_id", F.xxhash64(*key)).join(hot, "key_id", "left")
-
-    share = F.when(F.col("hot"), F.pmod(F.col(spread), F.lit(SALTS))).otherwise(F.lit(0))
-    shares = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    left = marked(rows).withColumn("share", share.cast("int")).drop("key_id", "hot").alias("l")
-    right = marked(per_key).withColumn("share", F.explode(shares)).drop("key_id", "hot").alias("r")
-    sides = [(F.col(f"l.`{name}`"), F.col(f"r.`{name}`")) for name in [*key, "share"]]
-    same = [a.eqNullSafe(b) if null_safe else a == b for a, b in sides]
-    extra = [name for name in per_key.columns if name not in key]
-    return left.join(right, same, how).select(
-        *[f"l.`{name}`" for name in rows.columns], *[f"r.`{name}`" for name in extra]
-    )
