@@ -42,7 +42,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     table = scratch_path(spark, "bench-store")
-    store.write_partitions(fx.survey(spark, sf_dir), table)
+    store.sink_store(fx.survey(spark, sf_dir), table)
     df = store.scan_store(spark, table)
     typed = fx.records(spark, sf_dir)
     landing = scratch_path(spark, "bench-landing")
@@ -57,7 +57,7 @@ def main() -> None:
 
     def load_store():
         path = scratch_path(spark, "bench-store")
-        store.write_partitions(fx.survey(spark, sf_dir), path)
+        store.sink_store(fx.survey(spark, sf_dir), path)
         return store.scan_store(spark, path)
 
     def trend(unit):

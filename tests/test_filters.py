@@ -52,7 +52,7 @@ def test_year_bounds_compare_text(dated):
 
 def test_blank_years_survive_the_partitioned_table(spark, dated, tmp_path):
     path = str(tmp_path / "store")
-    store.write_partitions(dated, path)
+    store.sink_store(dated, path)
     table = store.scan_store(spark, path)
     for bounds in [(None, "2013"), ("2013", None), ("2013", "2013"), (None, None)]:
         assert kept(filters.filter_year_range(table, *bounds)) == kept(
@@ -62,7 +62,7 @@ def test_blank_years_survive_the_partitioned_table(spark, dated, tmp_path):
 
 def test_year_bounds_prune_partitions(spark, dated, tmp_path):
     path = str(tmp_path / "store")
-    store.write_partitions(dated, path)
+    store.sink_store(dated, path)
     df = filters.filtered_records(store.scan_store(spark, path), FilterSpec("2013", "2013"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
@@ -86,9 +86,18 @@ def test_area_present_drops_blank_and_null(spark):
     assert [r.catch_area for r in filters.filter_area_present(with_null).collect()] == ["A"]
 
 
-def test_where_clause_equals_filtered_records(dated):
-    spec = FilterSpec("2012", "2014", ("A1", "A2"))
-    assert kept(dated.where(filters.where_clause(spec))) == kept(
-        filters.filtered_records(dated, spec)
-    )
+def test_where_clause_equals_filtered_records(spark, dated, tmp_path):
+    path = str(tmp_path / "store")
+    store.sink_store(dated, path)
+    table = store.scan_store(spark, path)
+    for first in (None, "", "2012", "2013", "zz"):
+        for last in (None, "", "2013", "2014"):
+            for areas in ((), ("",), (None,), ("A1", "A2"), ("", "A3"), ("none",)):
+                spec = FilterSpec(first, last, areas)
+                want = kept(filters.filtered_records(table, spec))
+                assert kept(dated.where(filters.where_clause(spec))) == want, spec
+                assert kept(table.where(filters.where_clause(spec, partitioned=True))) == want, spec
     assert dated.where(filters.where_clause(FilterSpec())).count() == 5
+    pruned = table.where(filters.where_clause(FilterSpec("2013", "2013"), partitioned=True))
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "survey_year" in plan.split("PartitionFilters: [")[1].split("]")[0]

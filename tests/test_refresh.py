@@ -1,11 +1,14 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
-from helpers import state_of
+from helpers import records, state_of
 
+from tidetally.operators import key_filter
 from tidetally.plans import refresh as plan
 from tidetally.plans.refresh import Paths, refresh, refresh_due
-from tidetally.sources import run_log, snapshots, store
+from tidetally.schema import KEY
+from tidetally.sources import csv_batches, run_log, snapshots, store, versions
 from tidetally.sources.store import scan_store
 from tidetally.streaming import landing as stream
 from tidetally.streaming.landing import stream_refresh
@@ -157,3 +160,160 @@ def test_replayed_stream_batch_is_not_applied_twice(spark, tmp_path, monkeypatch
         run(spark, tmp_path)
     monkeypatch.undo()
     assert len(run(spark, tmp_path)) == 2
+
+
+def summary(done):
+    return {k: v for k, v in done.items() if k not in ("last_update", "next_update_available")}
+
+
+def test_unchanged_files_are_not_parsed_again(spark, paths, tmp_path, monkeypatch):
+    landing = tmp_path / "landing"
+    for batch, year in ((1, 2013), (2, 2012), (3, 2011)):
+        land(landing, batch, [(f"Apr {d}, {year}", "R", "A", 1, 2, d) for d in range(1, 9)])
+    (landing / "x_sample_date=4.csv").write_text("")
+    refresh(spark, paths, AT, over=None)
+
+    def parsed(manifest):
+        return sorted(r.batch_no for r in manifest.collect())
+
+    read = []
+
+    def counting(spark, manifest):
+        read.append(parsed(manifest))
+        return csv_batches.scan_csv_batches(spark, manifest)
+
+    monkeypatch.setattr(plan, "scan_csv_batches", counting)
+    again = refresh(spark, paths, AT + timedelta(days=1), over=None)
+    assert read == [] and versions.latest(spark, paths.store).number == 2
+    assert (again["records"], again["new"], again["duplicates"], again["years_fetched"]) == (24, 0, 24, 4)
+    # The rule that ends a load sees the batches that were not parsed.
+    ended = refresh(spark, paths, AT + timedelta(days=2), over=5)
+    assert read == [] and (ended["duplicates"], ended["years_fetched"]) == (8, 0)
+    # A correction: its batch alone is parsed, and once more as its rows replaced some.
+    land(landing, 2, [(f"Apr {d}, 2012", "R", "A", 1, 2, 9) for d in range(1, 9)])
+    for day in (3, 4, 5):
+        done = refresh(spark, paths, AT + timedelta(days=day), over=None)
+    assert read == [[2], [2]] and done["duplicates"] == 24
+    # Batch 3 now also has rows of 2013: batch 1 has to be looked at with it.
+    land(landing, 3, [("Apr 3, 2013", "R", "A", 1, 2, 77)])
+    done = refresh(spark, paths, AT + timedelta(days=6), over=None)
+    assert read[2:] == [[3], [1]] and (done["updated"], done["duplicates"]) == (1, 16)
+    # Someone else changes the table: nothing is known any more.
+    store.sink_store(scan_store(spark, paths.store).where("survey_year = '2012'"), paths.store)
+    refresh(spark, paths, AT + timedelta(days=7), over=None)
+    assert read[4] == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_skipping_files_changes_nothing(spark, tmp_path, monkeypatch, seed):
+    """Random landings, each loaded with and without what is known of the batches."""
+    draw = random.Random(seed)
+    bases = {skip: tmp_path / str(skip) for skip in (True, False)}
+    known = plan.known_batches
+    landed = {}
+    for day in range(4):
+        for batch in (1, 2, 3):
+            if day == 0 or draw.random() < 0.4:
+                years = draw.choice([[2014 - batch], [2014 - batch], [2014 - batch, 2013], [""]])
+                landed[batch] = [
+                    (f"Apr {draw.randrange(1, 4)}, {y}" if y else "", "R", "A", 1, draw.choice([1, 2, 2, 2, ""] if draw.random() < 0.2 else [1, 2]), draw.randrange(3))
+                    for y in years
+                    for _ in range(draw.randrange(1, 5))
+                ]
+        results = []
+        for skip, base in bases.items():
+            for batch, rows in landed.items():
+                land(base / "landing", batch, rows)
+            names = ("landing", "store", "log")
+            monkeypatch.setattr(plan, "known_batches", known if skip else lambda *_: {})
+            own = Paths(**{name: str(base / name) for name in names})
+            done = refresh(spark, own, AT + timedelta(days=day), over=None)
+            table = scan_store(spark, own.store)
+            moved = sorted(map(str, table.select("*").drop("data_hash").collect()))
+            results.append((summary(done), state_of(table), moved))
+        assert results[0] == results[1]
+
+
+def test_a_refresh_overtaken_by_another_reports_it(spark, paths, tmp_path, monkeypatch):
+    land(tmp_path / "landing", 1, [("Apr 1, 2013", "R", "", 1, 1, 3)])
+    publish = plan.publish
+
+    def overtaken(spark, path, staged):
+        other = store.stage_years(helpers_records(spark), path, versions.latest(spark, path))
+        store.publish(spark, path, other)
+        return publish(spark, path, staged)
+
+    monkeypatch.setattr(plan, "publish", overtaken)
+    done = refresh(spark, paths, AT)
+    assert not done["success"] and "version" in done["message"]
+    assert [r.sample_date for r in scan_store(spark, paths.store).collect()] == ["May 1, 2001"]
+    monkeypatch.undo()
+    assert refresh(spark, paths, AT)["records"] == 2
+
+
+def helpers_records(spark):
+    return records(spark, [{"sample_date": "May 1, 2001"}])
+
+
+def test_stream_goes_on_from_what_another_run_published(spark, tmp_path, monkeypatch):
+    land(tmp_path / "landing", 1, [("Apr 1, 2013", "R", "", 1, 2, 3)])
+    calls = []
+
+    def overtaken(spark, path, staged):
+        if not calls:
+            other = store.stage_years(helpers_records(spark), path, versions.latest(spark, path))
+            store.publish(spark, path, other)
+        calls.append(staged)
+        return store.publish(spark, path, staged)
+
+    monkeypatch.setattr(stream, "publish", overtaken)
+    assert len(run(spark, tmp_path)) == 2 and len(calls) == 2
+
+
+def test_digests(spark, tmp_path):
+    lines = [f'"Apr 1, 2013",R{i},A,1,{i},3' for i in range(3000)]
+
+    def digests(name, lines, parts=1, size="128m"):
+        folder = tmp_path / name / "batch_no=1"
+        folder.mkdir(parents=True)
+        for k in range(parts):
+            some = lines[k * len(lines) // parts : (k + 1) * len(lines) // parts]
+            (folder / f"part-{k}-{name}.csv").write_text("\n".join(some) + "\n")
+        (tmp_path / name / "sample_date=2.csv").write_text("")
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            return csv_batches.batch_digests(spark, csv_batches.list_batches(spark, str(tmp_path / name)))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+    first = digests("a", lines, parts=2)
+    assert set(first) == {1, 2} and first[2] == ""
+    assert digests("b", lines, parts=2, size="2000") == first  # however it is split
+    others = [digests("c", lines[::-1], 2), digests("d", [*lines[:-1], "x"], 2), digests("e", lines, 1)]
+    swapped = [lines[1], lines[0], *lines[2:]]
+    others.append(digests("f", swapped, 2))
+    assert len({first[1], *(o[1] for o in others)}) == 5
+    assert csv_batches.batch_digests(spark, csv_batches.list_batches(spark, str(tmp_path / "none"))) == {}
+
+
+def test_stored_rows_pass_a_filter_before_they_are_shuffled(spark, tmp_path):
+    path = str(tmp_path / "store")
+    many = [{"sample_date": "Apr 1, 2013", "ramp_site": f"R{i}", "interviews": 1, "anglers": 1} for i in range(4000)]
+    store.sink_store(records(spark, many), path)
+    table = scan_store(spark, path)
+    some = table.where("ramp_site IN ('R1', 'R17', 'R3999')")
+    made = key_filter.key_filter(some, KEY, 3)
+    marked = key_filter.with_possible(table, KEY, made, "possible")
+    hits = {r.ramp_site for r in marked.where("possible").collect()}
+    assert {"R1", "R17", "R3999"} <= hits and len(hits) < 30
+    shuffled = marked.where("possible").groupBy(*KEY).count()
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    # The stored rows meet the filter below the one exchange of rows.
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "BroadcastHashJoin" in below and plan.count("Exchange hashpartitioning") == 1
+    nothing = key_filter.key_filter(table.limit(0), KEY, 0)
+    assert key_filter.with_possible(table, KEY, nothing, "possible").where("possible").count() == 0
+    assert key_filter.key_filter(table, KEY, 1 << 25) is None
+    loose = records(spark, [{"sample_date": "Apr 1, 2013"}])
+    assert key_filter.with_possible(loose, KEY, key_filter.key_filter(loose, KEY, 1), "p").where("p").count() == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidetally.operators import areas
 from tidetally.operators.ingest import project_record, stop_on_gap
-from tidetally.sources import csv_batches, export, features, run_log, snapshots, store
+from tidetally.sources import csv_batches, export, features, run_log, snapshots, store, versions
 
 AT = datetime(2025, 6, 1, 12)
 HEAD = "Sample date,Ramp/site,Catch area,# Interviews (Boat or Shore),Anglers,Chinook,Coho"
@@ -79,16 +79,49 @@ def test_store_replaces_touched_years_only(spark, tmp_path):
     assert store.scan_store(spark, path).count() == 0
     assert store.init_store(spark, path).count() == 0
     first = [{"sample_date": d, "coho": 1.0} for d in ("Apr 1, 2013", "Apr 1, 2014", "")]
-    store.sink_store(records(spark, first), path, str(tmp_path / "s1"))
+    store.sink_store(records(spark, first), path)
     again = store.scan_store(spark, path).where("survey_year = '2013'").withColumn(
         "coho", F.lit(5.0)
     )
-    store.sink_store(again, path, str(tmp_path / "s2"))
+    store.sink_store(again, path)
     found = {r.survey_year: r.coho for r in store.init_store(spark, path).collect()}
     assert found == {"2013": 5.0, "2014": 1.0, "_other": 1.0}
-    store.publish(spark, str(tmp_path / "s2"), path)
-    store.publish(spark, str(tmp_path / "no stage"), path)
-    assert store.scan_store(spark, path).count() == 3
+    assert versions.latest(spark, path).number == 3
+
+
+def test_readers_see_one_version(spark, tmp_path):
+    """While two years are replaced, a reader has the old two until both are new."""
+    path = str(tmp_path / "store")
+    both = [{"sample_date": d, "coho": 1.0} for d in ("Apr 1, 2013", "Apr 1, 2014")]
+    base = store.sink_store(records(spark, both), path)
+    old = store.scan_store(spark, path)
+    new = store.scan_store(spark, path).withColumn("coho", F.lit(2.0))
+    staged = store.stage_years(new, path, base)
+    assert [r.coho for r in store.scan_store(spark, path).collect()] == [1.0, 1.0]
+    store.publish(spark, path, staged)
+    assert [r.coho for r in store.scan_store(spark, path).collect()] == [2.0, 2.0]
+    assert [r.coho for r in old.collect()] == [1.0, 1.0]
+    # Published once more, nothing happens.
+    assert store.publish(spark, path, staged).number == versions.latest(spark, path).number == 2
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path):
+    path = str(tmp_path / "store")
+    base = store.sink_store(records(spark, [{"sample_date": "Apr 1, 2013", "coho": 1.0}]), path)
+    one, two = (
+        store.stage_years(records(spark, [{"sample_date": "Apr 1, 2013", "coho": c}]), path, base)
+        for c in (2.0, 3.0)
+    )
+    store.publish(spark, path, one)
+    with pytest.raises(versions.StaleVersion):
+        store.publish(spark, path, two)
+    assert [r.coho for r in store.scan_store(spark, path).collect()] == [2.0]
+    # Both may have looked before either wrote: the number can be taken only once.
+    taken = versions.latest(spark, path)
+    with pytest.raises(versions.StaleVersion):
+        versions.commit(spark, path, taken)
+    assert versions.latest(spark, path) == taken
+    assert not list((tmp_path / "store" / "versions").glob(".*.part"))
 
 
 def test_run_log(spark, tmp_path):
@@ -102,20 +135,54 @@ def test_run_log(spark, tmp_path):
     assert run_log.scan_metadata(run_log.scan_log(spark, path)).first().last_update is None
 
 
+def written(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
 def test_snapshots(spark, tmp_path):
     path, uri, fresh = (str(tmp_path / name) for name in ("store", "copies", "fresh"))
     assert not snapshots.snapshot_save(spark, path, uri, AT)
     assert not snapshots.snapshot_restore(spark, fresh, uri)
-    store.write_partitions(records(spark, [{"sample_date": "Apr 1, 2013"}]), path)
+    store.sink_store(records(spark, [{"sample_date": "Apr 1, 2013"}]), path)
     assert not snapshots.snapshot_save(spark, path, None, AT)
     assert snapshots.snapshot_save(spark, path, uri, AT)
-    store.write_partitions(records(spark, [{"sample_date": "Apr 1, 2014"}]), path)
+    store.sink_store(records(spark, [{"sample_date": "Apr 1, 2014"}]), path)
     assert snapshots.snapshot_save(spark, path, uri, AT.replace(day=2))
     assert snapshots.snapshot_restore(spark, fresh, uri)
     assert store.scan_store(spark, fresh).count() == 2
     assert not snapshots.snapshot_restore(spark, fresh, uri)
 
 
+def test_snapshots_copy_changed_years_only(spark, tmp_path):
+    path, uri = str(tmp_path / "store"), str(tmp_path / "copies")
+    years = range(2013, 2019)
+
+    def rows(years, coho):
+        return records(
+            spark,
+            [{"sample_date": f"Apr 1, {y}", "ramp_site": f"R{i}", "coho": coho} for y in years for i in range(200)],
+        )
+
+    def content(df):
+        return sorted((r.sample_date, r.ramp_site, r.coho) for r in df.collect())
+
+    want, sizes = [], []
+    for day, (changed, coho) in enumerate([(years, 1.0), ([2014], 2.0), ([], 0.0), ([2014, 2019], 3.0)], 1):
+        if changed:
+            store.sink_store(rows(changed, coho), path)
+        assert snapshots.snapshot_save(spark, path, uri, AT.replace(day=day))
+        want.append(content(store.scan_store(spark, path)))
+        sizes.append(written(tmp_path / "copies"))
+    grown = [b - a for a, b in zip([0, *sizes], sizes)]
+    assert grown[2] == 0 and grown[1] < grown[0] / 4 and grown[1] < grown[3] < grown[0] / 2
+    listed = snapshots.list_snapshots(spark, uri)
+    assert [v.at[:10] for v in listed] == [f"2025-06-0{d}" for d in range(1, 5)]
+    for number, version in enumerate(listed):
+        fresh = str(tmp_path / f"fresh{number}")
+        assert snapshots.snapshot_restore(spark, fresh, uri, version)
+        assert content(store.scan_store(spark, fresh)) == want[number]
+
+
 def test_export_keeps_nulls_and_drops_internals(spark, tmp_path):
     df = records(spark, [{"sample_date": "Apr 1, 2013", "coho": 1.5, "data_hash": "x"}])
     path = export.export_json(df, str(tmp_path))

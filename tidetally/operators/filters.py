@@ -61,32 +61,41 @@ class FilterSpec:
         return species_list(self.species)
 
 
-def filter_year_range(
-    df: DataFrame, year_start: str | None = None, year_end: str | None = None
-) -> DataFrame:
-    """Year text between the bounds, each optional.
+def _year_predicates(year_start: str | None, year_end: str | None, partitioned: bool) -> list[Column]:
+    """Bounds on the year text, and with ``partitioned`` also on the partition.
 
     Years are compared as text, so a blank date passes an upper bound and fails
-    a lower one. On a table partitioned by ``survey_year`` a second predicate
-    prunes the partitions; the one for odd dates is always kept and left to the
-    exact predicate.
+    a lower one. The partition of odd dates is always kept and left to the exact
+    predicate.
     """
     bounds = []
     if year_start is not None:
         bounds.append(lambda year: year >= F.lit(str(year_start)))
     if year_end is not None:
         bounds.append(lambda year: year <= F.lit(str(year_end)))
-    for bound in bounds:
-        if "survey_year" in df.columns:
-            partition = F.col("survey_year")
-            df = df.where(bound(partition) | (partition == OTHER_YEAR))
-        df = df.where(bound(year_of(F.col("sample_date"))))
+    found = [bound(year_of(F.col("sample_date"))) for bound in bounds]
+    if partitioned:
+        partition = F.col("survey_year")
+        found += [bound(partition) | (partition == OTHER_YEAR) for bound in bounds]
+    return found
+
+
+def _named(areas: Sequence[str]) -> list[str]:
+    return sorted({area for area in areas if area})
+
+
+def filter_year_range(
+    df: DataFrame, year_start: str | None = None, year_end: str | None = None
+) -> DataFrame:
+    """Year text between the bounds, each optional; prunes a table partitioned by ``survey_year``."""
+    for predicate in _year_predicates(year_start, year_end, "survey_year" in df.columns):
+        df = df.where(predicate)
     return df
 
 
 def filter_areas(df: DataFrame, areas: Sequence[str]) -> DataFrame:
     """Rows of the named areas; blanks in the list are ignored, an empty list filters nothing."""
-    named = sorted({area for area in areas if area})
+    named = _named(areas)
     if not named:
         return df
     if len(named) <= MAX_AREAS_IN_PLAN:
@@ -108,16 +117,16 @@ def filter_updated(df: DataFrame) -> DataFrame:
     return df.where(F.col("updated_at") > F.col("created_at"))
 
 
-def where_clause(spec: FilterSpec) -> Column:
-    """All predicates of the request as one Column; true when there is none."""
-    year = year_of(F.col("sample_date"))
-    predicates = []
-    if spec.year_start is not None:
-        predicates.append(year >= F.lit(spec.year_start))
-    if spec.year_end is not None:
-        predicates.append(year <= F.lit(spec.year_end))
-    if spec.catch_area:
-        predicates.append(F.col("catch_area").isin(list(spec.catch_area)))
+def where_clause(spec: FilterSpec, partitioned: bool = False) -> Column:
+    """All predicates of the request as one Column; true when there is none.
+
+    The rows are those of ``filtered_records``. With ``partitioned`` the clause
+    also prunes a table that is partitioned by ``survey_year``.
+    """
+    predicates = _year_predicates(spec.year_start, spec.year_end, partitioned)
+    named = _named(spec.catch_area)
+    if named:
+        predicates.append(F.col("catch_area").isin(named))
     return reduce(and_, predicates, F.lit(True))
 
 

@@ -63,7 +63,8 @@ def seq_in_batch(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return with_row_number(rows, ["batch_no"], "row", hot_rows)
 
 
-def _null_key() -> Column:
+def null_key() -> Column:
+    """Whether a row's key has a NULL part."""
     return reduce(or_, [F.col(name).isNull() for name in KEY])
 
 
@@ -71,7 +72,7 @@ def _by_key_nulls(df: DataFrame, null_safe_key: bool) -> tuple[DataFrame | None,
     """(rows that can match nothing, rows matched by key)."""
     if null_safe_key:
         return None, df
-    return df.where(_null_key()), df.where(~_null_key())
+    return df.where(null_key()), df.where(~null_key())
 
 
 def key_match(
@@ -111,7 +112,7 @@ def upsert_classify(
     position and hash go through the shuffle, once.
     """
     rows = incoming.select(*POSITION, *KEY, "data_hash")
-    loose = F.lit(False) if null_safe_key else _null_key()
+    loose = F.lit(False) if null_safe_key else null_key()
     if existing is not None:
         stored = existing.select(
             F.lit(0).alias("batch_no"),

@@ -1,5 +1,7 @@
 """The refresh: all landed batches into the table, at most once a day."""
 
+import json
+import logging
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -10,6 +12,7 @@ from tidetally.operators.ingest import (
     ALL_DUPLICATES_OVER,
     batch_outcomes,
     conflicts,
+    null_key,
     project_record,
     run_totals,
     stop_on_all_duplicates,
@@ -17,26 +20,33 @@ from tidetally.operators.ingest import (
     upsert_classify,
     upsert_latest,
 )
+from tidetally.operators.key_filter import key_filter, with_possible
 from tidetally.operators.skew import HOT_ROWS
 from tidetally.schema import (
     CURRENT_MESSAGE,
     FAILED_MESSAGE,
     FIRST_SURVEY_YEAR,
+    KEY,
     LAST_UPDATE,
+    POSITION,
     REFRESH_INTERVAL_HOURS,
     UPDATED_MESSAGE,
 )
 from tidetally.session import keep, scratch_path
-from tidetally.sources.csv_batches import list_batches, scan_csv_batches
-from tidetally.sources.run_log import scan_log, scan_metadata, sink_metadata
+from tidetally.sources.csv_batches import batch_digests, list_batches, scan_csv_batches
+from tidetally.sources.run_log import latest_value, scan_log, scan_metadata, sink_metadata
 from tidetally.sources.snapshots import snapshot_save
 from tidetally.sources.store import (
+    Staged,
     init_store,
     publish,
     scan_store,
+    stage_years,
     with_survey_year,
-    write_partitions,
 )
+from tidetally.sources.versions import Version, latest, new_run
+
+logger = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -73,62 +83,190 @@ def _years(df: DataFrame) -> list[str]:
 
 @dataclass(frozen=True)
 class Load:
-    """Staged tables of a load."""
+    """A load that has been worked out and staged."""
 
-    stage: str
+    staged: Staged
     kept: DataFrame
     outcomes: DataFrame
 
-    @property
-    def state(self) -> str:
-        return f"{self.stage}/state"
-
     def conflicts(self) -> DataFrame:
         return conflicts(self.kept)
 
 
+def _changed_state(
+    incoming: DataFrame,
+    existing: DataFrame,
+    classified: DataFrame,
+    run_at: datetime,
+    null_safe_key: bool,
+) -> DataFrame | None:
+    """New state of the survey years in which a row of ``classified`` changes something.
+
+    Only keys with a change are folded anew; a row that repeats what its key holds
+    adds nothing to the fold. Stored rows of other keys are passed on as they are, and
+    most are known by a filter of the changed keys, without a shuffle.
+    """
+    changes = keep(classified.where("status <> 'duplicate'"), "changes")
+    years = _years(changes)
+    if not years:
+        return None
+    rows = incoming.join(changes.select(*POSITION), POSITION, "left_semi")
+    existing = existing.where(F.col("survey_year").isin(years))
+    made = key_filter(changes, KEY, changes.count())
+    if made is None:
+        return upsert_latest(rows, existing, run_at, null_safe_key)
+    marked = with_possible(existing, KEY, made, "possible")
+    state = upsert_latest(rows, marked.where("possible").drop("possible"), run_at, null_safe_key)
+    return state.unionByName(marked.where("NOT possible").select(*state.columns))
+
+
 def stage_load(
     spark: SparkSession,
-    raw: DataFrame,
+    incoming: DataFrame,
     store: str,
+    base: Version,
     run_at: datetime,
     stage: str,
     null_safe_key: bool = False,
     over: int | None = ALL_DUPLICATES_OVER,
     hot_rows: int = HOT_ROWS,
+    unchanged: DataFrame | None = None,
 ) -> Load:
-    """Works out the table's new state from text rows, without touching the table.
+    """Works out the table's new state from typed rows, without touching the table.
 
-    The typed rows and their classification are staged as tables under
-    ``stage``, so files are parsed once and a lost executor costs its tasks
-    only. Of the table, only survey years that occur in the batches are read
-    and only those with a change are staged.
+    The classification and the new state are written, so a lost executor costs
+    its tasks only. Of the table, only survey years that occur in the batches are
+    read, of those only rows whose key may be among the incoming are compared, and
+    only years with a change are staged. ``unchanged`` are outcomes of batches that
+    need not be looked at; they count for the rule that ends a load.
     """
-    init_store(spark, store)
-    typed, marked = f"{stage}/typed", f"{stage}/classified"
-    with_survey_year(project_record(raw)).write.mode("overwrite").parquet(typed)
-    incoming = spark.read.parquet(typed)
-    existing = scan_store(spark, store).where(F.col("survey_year").isin(_years(incoming)))
-
-    with_survey_year(upsert_classify(incoming, existing, null_safe_key, hot_rows)).write.mode(
+    marked = f"{stage}/classified"
+    existing = scan_store(spark, store, base).where(F.col("survey_year").isin(_years(incoming)))
+    made = key_filter(incoming, KEY, incoming.count())
+    compared = existing
+    if made is not None:
+        compared = with_possible(existing, KEY, made, "possible").where("possible").drop("possible")
+    with_survey_year(upsert_classify(incoming, compared, null_safe_key, hot_rows)).write.mode(
         "overwrite"
     ).parquet(marked)
     classified = spark.read.parquet(marked)
-    batch_outcomes(classified).write.mode("overwrite").parquet(f"{stage}/outcomes")
+    outcomes = batch_outcomes(classified)
+    if unchanged is not None:
+        outcomes = outcomes.unionByName(unchanged)
+    outcomes.write.mode("overwrite").parquet(f"{stage}/outcomes")
     outcomes = spark.read.parquet(f"{stage}/outcomes")
-    load = Load(stage, stop_on_all_duplicates(classified, outcomes, over), outcomes)
-
-    changed = _years(load.kept.where("status <> 'duplicate'"))
-    if changed:
-        in_changed = F.col("survey_year").isin(changed)
-        state = upsert_latest(
-            stop_on_all_duplicates(incoming, outcomes, over).where(in_changed),
-            existing.where(in_changed),
-            run_at,
-            null_safe_key,
+    kept = stop_on_all_duplicates(classified, outcomes, over)
+    state = _changed_state(incoming, existing, kept, run_at, null_safe_key)
+    staged = Staged(new_run(), (), base.number) if state is None else stage_years(state, store, base)
+    return Load(staged, kept, outcomes)
+
+
+def type_rows(spark: SparkSession, raw: DataFrame, stage: str) -> DataFrame:
+    """Adds text rows to the typed rows under ``stage``; files are parsed once."""
+    typed = f"{stage}/typed"
+    with_survey_year(project_record(raw)).write.mode("append").parquet(typed)
+    return spark.read.parquet(typed)
+
+
+# Log key of what is known of the landed batches.
+BATCHES = "batches"
+
+
+def known_batches(
+    log: DataFrame, base: Version, digests: dict[int, str], null_safe_key: bool
+) -> dict[int, dict]:
+    """Batches that would bring nothing but duplicates: rows and survey years of each.
+
+    They have the content they had when they were last loaded, every row of them is
+    what the table holds under its key, and the table has not changed since.
+    """
+    entry = latest_value(log, BATCHES).first().value
+    memo = json.loads(entry) if entry else {}
+    if memo.get("version") != base.number or memo.get("null_safe_key") != null_safe_key:
+        return {}
+    found = {int(number): batch for number, batch in memo["batches"].items()}
+    return {n: b for n, b in found.items() if n in digests and b["digest"] == digests[n]}
+
+
+def _settled(
+    load: Load, incoming: DataFrame, digests: dict[int, str], null_safe_key: bool
+) -> dict[int, dict]:
+    """Loaded batches whose rows all are what the table now holds; ``digests`` names those parsed.
+
+    Rows without a full key are inserted each time. Where a row was updated, one
+    of the batches with rows of its year may hold what it replaced.
+    """
+    loose = F.lit(False) if null_safe_key else null_key()
+    batches = load.kept.groupBy("batch_no").agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(loose, 1)).alias("loose"),
+        F.sort_array(F.collect_set("survey_year")).alias("years"),
+    )
+    moved = set(_years(load.kept.where("status = 'updated'")))
+    with_rows = {row.batch_no for row in incoming.select("batch_no").distinct().collect()}
+    empty = {
+        number: {"digest": digest, "rows": 0, "years": []}
+        for number, digest in digests.items()
+        if number not in with_rows
+    }
+    return empty | {
+        b.batch_no: {"digest": digests[b.batch_no], "rows": b.rows, "years": b.years}
+        for b in batches.collect()
+        if not b.loose and not moved & set(b.years)
+    }
+
+
+def _outcomes_of(spark: SparkSession, known: dict[int, dict]) -> DataFrame:
+    """Outcomes of batches that repeat what the table holds."""
+    rows = [(number, b["rows"], 0, 0, b["rows"]) for number, b in known.items() if b["rows"]]
+    return spark.createDataFrame(
+        rows, "batch_no int, total bigint, new bigint, updated bigint, duplicates bigint"
+    )
+
+
+def load_batches(
+    spark: SparkSession,
+    manifest: DataFrame,
+    paths: Paths,
+    now: datetime,
+    null_safe_key: bool,
+    over: int | None,
+) -> tuple[DataFrame, Version]:
+    """Loads the landed batches and publishes the result: (outcomes, version).
+
+    A batch that is known to repeat what the table holds is not parsed again. That
+    holds as long as no batch that is loaded has rows of its survey years, and
+    with that of its keys; those are parsed after all.
+    """
+    init_store(spark, paths.store)
+    base = latest(spark, paths.store)
+    digests = batch_digests(spark, manifest)
+    known = known_batches(scan_log(spark, paths.log), base, digests, null_safe_key)
+    stage = scratch_path(spark, "refresh")
+    incoming, parse = None, set(digests) - set(known)
+    while parse:
+        some = manifest.where(F.col("batch_no").isin(sorted(parse)))
+        incoming = type_rows(spark, scan_csv_batches(spark, some), stage)
+        years = set(_years(incoming))
+        parse = {n for n, b in known.items() if years & set(b["years"])}
+        known = {n: b for n, b in known.items() if n not in parse}
+    outcomes, settled, version = _outcomes_of(spark, known), {}, base
+    if incoming is not None:
+        load = stage_load(
+            spark, incoming, paths.store, base, now, stage, null_safe_key, over, unchanged=outcomes
         )
-        write_partitions(state, load.state)
-    return load
+        if load.staged.years:
+            version = publish(spark, paths.store, load.staged)
+        outcomes, settled = load.outcomes, _settled(
+            load, incoming, {n: d for n, d in digests.items() if n not in known}, null_safe_key
+        )
+    memo = {
+        "version": version.number,
+        "null_safe_key": null_safe_key,
+        "batches": {**known, **settled},
+    }
+    sink_metadata(spark, paths.log, now, BATCHES, json.dumps(memo))
+    return outcomes, version
 
 
 def refresh(
@@ -158,15 +296,13 @@ def refresh(
     try:
         landed = list_batches(spark, paths.landing)
         manifest = keep(stop_on_gap(landed, now.year - FIRST_SURVEY_YEAR + 1), "manifest")
-        raw = scan_csv_batches(spark, manifest)
-        stage = scratch_path(spark, "refresh")
-        load = stage_load(spark, raw, paths.store, now, stage, null_safe_key, over)
-        publish(spark, load.state, paths.store)
-        store = scan_store(spark, paths.store)
-        totals = run_totals(load.outcomes, manifest, store, over).first()
+        outcomes, version = load_batches(spark, manifest, paths, now, null_safe_key, over)
+        store = scan_store(spark, paths.store, version)
+        totals = run_totals(outcomes, manifest, store, over).first()
         snapshot_save(spark, paths.store, paths.snapshots, now)
         sink_metadata(spark, paths.log, now)
     except Exception as error:
+        logger.exception("refresh failed")
         return {
             "success": False,
             "message": FAILED_MESSAGE.format(error),

@@ -54,7 +54,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "store")
-    store.write_partitions(fx.survey(spark, sf_dir), path)
+    store.sink_store(fx.survey(spark, sf_dir), path)
     return path
 
 
@@ -90,7 +90,7 @@ def scan_store(spark, sf_dir):
 def init_store(spark, sf_dir):
     path = scratch_path(spark, "store")
     store.init_store(spark, path)
-    store.sink_store(fx.survey(spark, sf_dir), path, scratch_path(spark, "stage"))
+    store.sink_store(fx.survey(spark, sf_dir), path)
     return store.init_store(spark, path).groupBy("survey_year").agg(
         F.count(F.lit(1)).alias("n"), F.count("anglers").alias("with_anglers")
     )
@@ -109,7 +109,7 @@ def store_after_two_loads(spark: SparkSession, sf_dir: str) -> str:
     for part, day in (("batch_no <= 3", 1), ("batch_no > 3", 2)):
         existing = store.scan_store(spark, path)
         state = ingest.upsert_latest(rows.where(part), existing, RUN_AT.replace(day=day))
-        store.sink_store(state, path, scratch_path(spark, "stage"))
+        store.sink_store(state, path)
     return path
 
 
@@ -165,17 +165,15 @@ def export_json(spark, sf_dir):
 
 @query("snapshot_save")
 def snapshot_save(spark, sf_dir):
-    """Saves twice; the log names both copies and both are complete."""
+    """Saves twice; both copies are listed and both are complete."""
     path, uri = _stored(spark, sf_dir), scratch_path(spark, "snapshots")
     for day in (1, 2):
         snapshots.snapshot_save(spark, path, uri, RUN_AT.replace(day=day))
-    copies = spark.read.option("recursiveFileLookup", "true").schema(
-        "catch_area string, coho double"
-    ).parquet(f"{uri}/data")
-    logged = run_log.scan_log(spark, f"{uri}/log").agg(F.count(F.lit(1)).alias("c")).scalar()
-    return copies.groupBy("catch_area").agg(
+    listed = snapshots.list_snapshots(spark, uri)
+    first, second = (snapshots.scan_snapshot(spark, uri, version) for version in listed)
+    return first.unionByName(second).groupBy("catch_area").agg(
         F.count(F.lit(1)).alias("n"), F.sum("coho").alias("coho")
-    ).withColumn("copies", logged)
+    ).withColumn("copies", F.lit(len(listed)).cast("bigint"))
 
 
 @query("snapshot_restore")

@@ -7,7 +7,7 @@ A batch is a file or a folder of part files whose path carries its number as
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidetally.schema import HEADERS
@@ -125,6 +125,49 @@ def scan_csv_batches(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty)
 
 
+def batch_digests(spark: SparkSession, manifest: DataFrame) -> dict[int, str]:
+    """Digest of the content of each landed batch, from one pass over the files as lines.
+
+    A line counts by its hash and by its place in the file, so that lines moved
+    about are noticed; how a file is split does not matter. Part files count in name
+    order, not by name. The driver gets one row a batch.
+    """
+    roots = [row.root for row in manifest.where("bytes > 0").collect()]
+    empty = {row.batch_no: "" for row in manifest.where("bytes = 0").collect()}
+    if not roots:
+        return empty
+    path = F.col("_metadata.file_path")
+    number = F.col("place").cast("decimal(11,0)")
+    small = F.pmod("hash", F.lit(1 << 40)).cast("decimal(14,0)")
+    lines = spark.read.text(roots).select(
+        F.regexp_extract(path, _NUMBER, 1).cast("int").alias("batch_no"),
+        path.alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
+        F.xxhash64("value").alias("hash"),
+    )
+    splits = lines.groupBy("batch_no", "path", "start").agg(
+        F.count("*").cast("decimal(11,0)").alias("n"),
+        F.min(number).alias("low"),
+        F.sum(small).alias("plain"),
+        F.sum(small * number).alias("placed"),
+    )
+    # Places within a split become places within the file.
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("decimal(11,0)"))
+    shifted = splits.withColumn("shift", (begin - F.col("low")).cast("decimal(11,0)"))
+    wide = "decimal(38,0)"
+    files = shifted.groupBy("batch_no", "path").agg(
+        F.sum("n").alias("n"),
+        F.sum("plain").cast(wide).alias("plain"),
+        F.sum((F.col("placed") + F.col("plain") * F.col("shift")).cast(wide)).cast(wide).alias("placed"),
+    )
+    parts = F.sort_array(F.collect_list(F.struct("path", "n", "plain", "placed")))
+    texts = F.transform(parts, lambda f: F.concat_ws(":", f["n"], f["plain"], f["placed"]))
+    found = files.groupBy("batch_no").agg(F.sha2(F.array_join(texts, ","), 256).alias("digest"))
+    return empty | {row.batch_no: row.digest for row in found.collect()}
+
+
 def write_csv_batches(raw: DataFrame, landing: str) -> None:
     """Lands text rows as one folder of part files per batch, in landing order."""
     (

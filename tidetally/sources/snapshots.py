@@ -1,38 +1,67 @@
-"""Copies of the table elsewhere (any URI Spark can write to)."""
+"""Copies of the table elsewhere (any URI Spark can write to).
 
-from datetime import datetime
+A copy is a version of its own at the target. Folders of years never change, so
+years that the copy before it already holds are named again, not copied again.
+"""
 
-from pyspark.sql import SparkSession
+from dataclasses import replace
+from datetime import datetime, timezone
 
-from tidetally.schema import STORE
-from tidetally.sources.run_log import latest_value, scan_log, sink_metadata
-from tidetally.sources.store import read_or_none, copy_partitions
+from pyspark.sql import DataFrame, SparkSession
 
-_SNAPSHOT = "snapshot"
+from tidetally.sources.store import copy_years, scan_store
+from tidetally.sources.versions import Version, commit, latest, new_run, since
 
 
 def snapshot_save(spark: SparkSession, path: str, uri: str | None, at: datetime) -> bool:
     """Copies the table below ``uri``; does nothing without a target or a table.
 
-    Each copy is a folder of its own and is logged once it is complete, so a
-    copy cut short never hides the one before it.
+    Only years that changed since the last copy are written. The copy counts
+    once it is complete, so one cut short never hides the one before it.
     """
-    store = read_or_none(spark, path, STORE) if uri else None
-    if store is None:
+    table = latest(spark, path) if uri else Version()
+    if not table.number:
         return False
-    target = f"{uri}/data/{at:%Y%m%dT%H%M%S%f}"
-    copy_partitions(store, target)
-    sink_metadata(spark, f"{uri}/log", at, _SNAPSHOT, target)
+    last = latest(spark, uri)
+    kept = {y: last.years[y] for y, run in table.years.items() if last.source.get(y) == run}
+    fresh = {y: run for y, run in table.years.items() if y not in kept}
+    run = new_run()
+    if fresh:
+        run = copy_years(scan_store(spark, path, replace(table, years=fresh)), uri)
+    commit(
+        spark,
+        uri,
+        Version(
+            number=last.number + 1,
+            years={**kept, **dict.fromkeys(fresh, run)},
+            run=run,
+            at=at.astimezone(timezone.utc).isoformat(),
+            source=table.years,
+        ),
+    )
     return True
 
 
-def snapshot_restore(spark: SparkSession, path: str, uri: str | None) -> bool:
-    """Loads the latest complete copy, only where there is no table yet."""
-    if not uri or read_or_none(spark, path, STORE) is not None:
+def list_snapshots(spark: SparkSession, uri: str) -> list[Version]:
+    """All complete copies, oldest first."""
+    return since(spark, uri, 0)
+
+
+def scan_snapshot(spark: SparkSession, uri: str, version: Version) -> DataFrame:
+    """The table as a copy has it."""
+    return scan_store(spark, uri, version)
+
+
+def snapshot_restore(
+    spark: SparkSession, path: str, uri: str | None, version: Version | None = None
+) -> bool:
+    """Loads a copy, the latest by default, only where there is no table yet."""
+    if not uri or latest(spark, path).number:
         return False
-    target = latest_value(scan_log(spark, f"{uri}/log"), _SNAPSHOT).first().value
-    copy = read_or_none(spark, target, STORE) if target else None
-    if copy is None:
+    copy = version or latest(spark, uri)
+    if not copy.number:
         return False
-    copy_partitions(copy, path)
+    run = copy_years(scan_snapshot(spark, uri, copy), path) if copy.years else new_run()
+    stamp = datetime.now(timezone.utc).isoformat()
+    commit(spark, path, Version(1, dict.fromkeys(copy.years, run), run, stamp))
     return True

@@ -1,11 +1,29 @@
-"""The fact table: Parquet partitioned by survey year."""
+"""The fact table: Parquet folders by run and survey year, and versions that name them.
+
+``data/run=<run>/survey_year=<year>`` holds what one run made of a year. Which run's
+folder counts for a year is said by the latest version (``versions``).
+"""
+
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidetally.functions.dates import survey_year
 from tidetally.schema import STORE
+from tidetally.sources.versions import StaleVersion, Version, commit, folders, latest, new_run, since
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Years written by a run that began with a version, not published yet."""
+
+    run: str
+    years: tuple[str, ...]
+    base: int
 
 
 def read_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
@@ -17,68 +35,103 @@ def read_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
         return None
 
 
-def scan_store(spark: SparkSession, path: str) -> DataFrame:
-    """The table, or no rows where there is none yet.
+def scan_folders(
+    spark: SparkSession, path: str, years: dict[str, str], schema: T.StructType, folder: str = "data"
+) -> DataFrame:
+    """The named folders as one table that is partitioned by survey year.
 
     The schema is given, never inferred: ``2013`` as a partition value would
     come back as a number and break the text comparison of years.
     """
-    df = read_or_none(spark, path, STORE)
-    return spark.createDataFrame([], STORE) if df is None else df
+    if not years:
+        return spark.createDataFrame([], schema)
+    leaves = [f"{path}/{folder}/run={run}/survey_year={year}" for year, run in sorted(years.items())]
+    with_run = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+    rows = spark.read.schema(with_run).option("basePath", f"{path}/{folder}").parquet(*leaves)
+    return rows.select(*schema.fieldNames())
+
+
+def scan_store(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The table as the latest version has it, or as a given one; no rows where there is none yet."""
+    return scan_folders(spark, path, (version or latest(spark, path)).years, STORE)
 
 
 def with_survey_year(records: DataFrame) -> DataFrame:
     return records.withColumn("survey_year", survey_year(F.col("sample_date")))
 
 
-def _write(table: DataFrame, path: str, mode: str) -> None:
+def _write(table: DataFrame, path: str) -> None:
     """Within a file the rows lie by area, so an area filter skips most row groups.
 
     The order also is the one the partitioned write needs anyway.
     """
     (
         table.sortWithinPartitions("survey_year", "catch_area", "sample_date")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("survey_year")
+        .write.partitionBy("survey_year")
         .parquet(path)
     )
 
 
-def write_partitions(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Writes the survey years present in ``records`` and leaves the others alone.
+def stage_years(records: DataFrame, path: str, base: Version) -> Staged:
+    """Writes the survey years present in ``records`` where they will stay.
 
-    Rebalancing gives each year files of even size: a year that holds a third
-    of the table is written by many tasks, small years share one.
+    No version names them yet, so no reader sees them. Rebalancing gives each year
+    files of even size: a year that holds a third of the table is written by many
+    tasks, small years share one.
     """
+    run = new_run()
     table = with_survey_year(records).select(*STORE.fieldNames())
-    _write(table.hint("rebalance", "survey_year"), path, mode)
+    _write(table.hint("rebalance", "survey_year"), f"{path}/data/run={run}")
+    return staged_years(records.sparkSession, path, run, base.number)
+
 
+def staged_years(spark: SparkSession, path: str, run: str, base: int) -> Staged:
+    """What a run has staged, from its folders."""
+    names = folders(spark, f"{path}/data/run={run}/survey_year=*")
+    return Staged(run, tuple(name.partition("=")[2] for name in names), base)
 
-def copy_partitions(table: DataFrame, path: str) -> None:
-    """Copies a table, or replaces the survey years it holds; moves no row between tasks."""
-    _write(table, path, "overwrite")
+
+def copy_years(table: DataFrame, path: str) -> str:
+    """Copies a table into a folder of its own; moves no row between tasks."""
+    run = new_run()
+    _write(table, f"{path}/data/run={run}")
+    return run
+
+
+def publish(spark: SparkSession, path: str, staged: Staged) -> Version:
+    """Makes staged years count, all at once. May be repeated.
+
+    Raises ``StaleVersion`` if another run has published since this one began;
+    the table then is as that run left it.
+    """
+    newer = since(spark, path, staged.base)
+    for version in newer:
+        if version.run == staged.run:
+            return version
+    if newer:
+        raise StaleVersion(
+            f"{path} is at version {newer[-1].number}; this run began with {staged.base}"
+        )
+    base = latest(spark, path)
+    stamp = datetime.now(timezone.utc).isoformat()
+    years = {**base.years, **dict.fromkeys(staged.years, staged.run)}
+    return commit(
+        spark, path, replace(base, number=base.number + 1, years=years, run=staged.run, at=stamp)
+    )
 
 
 def init_store(spark: SparkSession, path: str) -> DataFrame:
     """Creates the table if it is missing and opens it."""
-    if read_or_none(spark, path, STORE) is None:
-        write_partitions(spark.createDataFrame([], STORE), path, "append")
+    if not latest(spark, path).number:
+        publish(spark, path, Staged(new_run(), (), 0))
     return scan_store(spark, path)
 
 
-def sink_store(state: DataFrame, path: str, stage: str) -> None:
-    """Replaces the survey years of ``state`` in the table.
+def sink_store(state: DataFrame, path: str, base: Version | None = None) -> Version:
+    """Replaces the survey years present in ``state`` and leaves the others alone.
 
-    The rows are staged first: they may be read from the table itself, and a
-    run that dies while the years are swapped can be finished from the stage.
+    ``base`` is the version that ``state`` was worked out from, the latest one by
+    default; if it isn't the latest any more, the table stays as it is.
     """
-    write_partitions(state, stage)
-    publish(state.sparkSession, stage, path)
-
-
-def publish(spark: SparkSession, stage: str, path: str) -> None:
-    """Copies staged survey years, if any, into the table. May be repeated."""
-    staged = read_or_none(spark, stage, STORE)
-    if staged is not None:
-        copy_partitions(staged, path)
+    spark = state.sparkSession
+    return publish(spark, path, stage_years(state, path, base or latest(spark, path)))

@@ -10,10 +10,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidetally.plans.refresh import stage_load
+from tidetally.plans.refresh import stage_load, type_rows
 from tidetally.sources.csv_batches import manifest_of, scan_csv_batches
 from tidetally.sources.run_log import latest_value, scan_log, sink_metadata
-from tidetally.sources.store import publish
+from tidetally.sources.store import init_store, publish, staged_years
+from tidetally.sources.versions import StaleVersion, latest, new_run
+
+# Times a micro-batch is worked out anew because someone else published meanwhile.
+ATTEMPTS = 5
 
 _LANDED = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -44,25 +48,46 @@ def stream_refresh(
     A micro-batch first stages the new state, then publishes it, and logs both
     steps. One that is replayed after a crash goes on from the last logged
     step, so its rows are never applied twice (records with a NULL key part
-    would be inserted again). The rules that end a batch load do not apply.
+    would be inserted again). If another run publishes in between, the batch is
+    worked out anew from there. The rules that end a batch load do not apply.
     """
 
     def apply(files: DataFrame, batch_id: int) -> None:
-        def logged(step: str) -> bool:
+        def logged(step: str) -> str | None:
             entry = latest_value(scan_log(spark, log), f"{step}:{checkpoint}:{batch_id}")
-            return entry.first().value is not None
+            return entry.first().value
+
+        def enter(step: str, value: str | None = None) -> None:
+            sink_metadata(spark, log, datetime.now(), f"{step}:{checkpoint}:{batch_id}", value)
 
-        def enter(step: str) -> None:
-            sink_metadata(spark, log, datetime.now(), f"{step}:{checkpoint}:{batch_id}")
+        def stage():
+            init_store(spark, store)
+            folder = f"{checkpoint}/stage/{batch_id}-{new_run()}"
+            raw = scan_csv_batches(spark, manifest_of(files, by_file=True))
+            typed = type_rows(spark, raw, folder)
+            base = latest(spark, store)
+            load = stage_load(
+                spark, typed, store, base, datetime.now(), folder, null_safe_key, over=None
+            )
+            enter("staged", f"{load.staged.run} {load.staged.base}")
+            return load.staged
 
-        stage = f"{checkpoint}/stage/{batch_id}"
         if logged("published"):
             return
-        if not logged("staged"):
-            raw = scan_csv_batches(spark, manifest_of(files, by_file=True))
-            stage_load(spark, raw, store, datetime.now(), stage, null_safe_key, over=None)
-            enter("staged")
-        publish(spark, f"{stage}/state", store)
+        before = logged("staged")
+        if before:
+            run, base = before.split()
+            staged = staged_years(spark, store, run, int(base))
+        else:
+            staged = stage()
+        for attempt in range(ATTEMPTS):
+            try:
+                publish(spark, store, staged)
+                break
+            except StaleVersion:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+                staged = stage()
         enter("published")
         sink_metadata(spark, log, datetime.now())
 
