@@ -1,3 +1,5 @@
+import json
+
 from tidetally.operators import areas
 
 FEATURE = "ma_number string, ma_name string, wac string, geometry string"
@@ -60,3 +62,16 @@ def test_largest_total_is_at_least_one(spark):
     assert areas.max_area_total(none).first().max_total == 1.0
     small = spark.createDataFrame([("A", 0.25, 1)], TOTAL)
     assert areas.with_intensity(small, small).first().intensity == 0.25
+
+
+def test_extent_makes_no_row_of_a_vertex(spark):
+    rows = [
+        (json.dumps({"type": "Polygon", "coordinates": [[[1.0, 9.0], [-2.0, 3.0]], [[0.0, 0.0]]]}),),
+        (json.dumps({"type": "MultiPolygon", "coordinates": [[[[5.0, 5.0]]], [[[4.0, -7.0]]]]}),),
+        (json.dumps({"type": "Point", "coordinates": [99.0, 99.0]}),),
+        (json.dumps({"type": "Polygon", "coordinates": []}),),
+        (None,),
+    ]
+    extent = areas.map_extent(spark.createDataFrame(rows, "geometry string"))
+    assert tuple(extent.first()) == (-2.0, -7.0, 5.0, 9.0)
+    assert "Generate" not in extent._jdf.queryExecution().executedPlan().toString()

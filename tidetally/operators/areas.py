@@ -140,27 +140,39 @@ def choropleth(
     )
 
 
-def explode_vertices(features: DataFrame) -> DataFrame:
-    """One row per vertex; a Polygon is read as a MultiPolygon of one."""
-    polygon = F.from_json("geometry", POLYGON)
-    multi = F.from_json("geometry", MULTI_POLYGON)
-    kind = F.get_json_object("geometry", "$.type")
-    polygons = F.when(kind == "Polygon", F.array(polygon["coordinates"])).when(
+def _rings(geometry: str = "geometry") -> Column:
+    """Polygons of rings of vertices; a Polygon is read as a MultiPolygon of one."""
+    polygon = F.from_json(geometry, POLYGON)
+    multi = F.from_json(geometry, MULTI_POLYGON)
+    kind = F.get_json_object(geometry, "$.type")
+    return F.when(kind == "Polygon", F.array(polygon["coordinates"])).when(
         kind == "MultiPolygon", multi["coordinates"]
     )
+
+
+def explode_vertices(features: DataFrame) -> DataFrame:
+    """One row per vertex."""
     others = [name for name in features.columns if name != "geometry"]
     return features.select(
-        *others, F.explode(F.flatten(F.flatten(polygons))).alias("vertex")
+        *others, F.explode(F.flatten(F.flatten(_rings()))).alias("vertex")
     ).select(*others, F.col("vertex")[0].alias("lon"), F.col("vertex")[1].alias("lat"))
 
 
 def map_extent(features: DataFrame) -> DataFrame:
-    """Bounding box of the features, one row; NULLs without any vertex."""
-    return explode_vertices(features.select("geometry")).agg(
-        F.min("lon").alias("min_lon"),
-        F.min("lat").alias("min_lat"),
-        F.max("lon").alias("max_lon"),
-        F.max("lat").alias("max_lat"),
+    """Bounding box of the features, one row; NULLs without any vertex.
+
+    A feature is folded to its own box inside its row, so vertices never become rows.
+    """
+    vertices = features.select(F.flatten(F.flatten(_rings())).alias("vertices"))
+    boxes = vertices.select(
+        F.transform("vertices", lambda v: v[0]).alias("lon"),
+        F.transform("vertices", lambda v: v[1]).alias("lat"),
+    )
+    return boxes.agg(
+        F.min(F.array_min("lon")).alias("min_lon"),
+        F.min(F.array_min("lat")).alias("min_lat"),
+        F.max(F.array_max("lon")).alias("max_lon"),
+        F.max(F.array_max("lat")).alias("max_lat"),
     )
 
 

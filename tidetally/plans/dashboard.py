@@ -5,15 +5,17 @@ per date text and area; that fold is some hundred thousand rows whatever the
 size of the table. It is kept as a table and every result is a fold of it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidetally.functions.dates import month_no, with_period, year_of
 from tidetally.functions.measures import coalesce_zero, species_sum, species_sums
 from tidetally.operators.aggregates import dense_months, fold_by_date, headline
 from tidetally.operators.filters import FilterSpec, filtered_records
+from tidetally.operators.rollup import page_fold_of
 from tidetally.schema import SALMON
 from tidetally.session import keep
+from tidetally.sources.store import scan_rollup
 
 
 def page_fold(df: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -73,10 +75,22 @@ def dashboard(df: DataFrame, spec: FilterSpec | None = None) -> dict[str, DataFr
     return page_results(keep(page_fold(df, spec), "page"), spec)
 
 
+def stored_dashboard(
+    spark: SparkSession, path: str, spec: FilterSpec | None = None
+) -> dict[str, DataFrame]:
+    """The same page from the rollup that is kept with the table; reads no records."""
+    spec = spec or FilterSpec()
+    return page_results(keep(page_fold_of(scan_rollup(spark, path), spec), "page"), spec)
+
+
 def page_long(df: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """The page as one frame: section, key, measure, value."""
     spec = spec or FilterSpec()
-    results = dashboard(df, spec)
+    return long_form(dashboard(df, spec), spec)
+
+
+def long_form(results: dict[str, DataFrame], spec: FilterSpec) -> DataFrame:
+    """Results of a page as one frame."""
     stats = results["stats"]
     figures = [name for name in stats.columns if name not in ("min_year", "max_year")]
     keys = {

@@ -744,6 +744,7 @@ SQL["dashboard"] = (
         ]
     )
 )
+SQL["dashboard_stored"] = SQL["dashboard"]
 of_survey(
     "collection_report",
     """SELECT 'effort' AS section, 'total_anglers' AS key, CAST(coalesce(sum(anglers), 0) AS BIGINT) AS value FROM survey

@@ -96,6 +96,19 @@ RECORD = T.StructType(
 
 STORE = T.StructType([*RECORD.fields, T.StructField("survey_year", T.StringType())])
 
+# Totals of the table by date text, area and which species are NULL (a bit each).
+ROLLUP = T.StructType(
+    [
+        T.StructField("sample_date", T.StringType()),
+        T.StructField("catch_area", T.StringType()),
+        T.StructField("nulls", T.IntegerType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("anglers", T.LongType()),
+        *[T.StructField(name, T.DoubleType()) for name in SPECIES],
+        T.StructField("survey_year", T.StringType()),
+    ]
+)
+
 RUN_LOG = T.StructType(
     [
         T.StructField("key", T.StringType()),

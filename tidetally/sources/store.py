@@ -1,7 +1,8 @@
 """The fact table: Parquet folders by run and survey year, and versions that name them.
 
 ``data/run=<run>/survey_year=<year>`` holds what one run made of a year. Which run's
-folder counts for a year is said by the latest version (``versions``).
+folder counts for a year is said by the latest version (``versions``). ``rollup/``
+holds totals of the same rows under the same names, so a version has both.
 """
 
 from dataclasses import dataclass, replace
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidetally.functions.dates import survey_year
-from tidetally.schema import STORE
+from tidetally.operators.rollup import rollup
+from tidetally.schema import ROLLUP, STORE
 from tidetally.sources.versions import StaleVersion, Version, commit, folders, latest, new_run, since
 
 
@@ -56,22 +58,38 @@ def scan_store(spark: SparkSession, path: str, version: Version | None = None) -
     return scan_folders(spark, path, (version or latest(spark, path)).years, STORE)
 
 
+def scan_rollup(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """Totals of the table (``operators.rollup``), as kept with its years."""
+    return scan_folders(spark, path, (version or latest(spark, path)).years, ROLLUP, "rollup")
+
+
 def with_survey_year(records: DataFrame) -> DataFrame:
     return records.withColumn("survey_year", survey_year(F.col("sample_date")))
 
 
-def _write(table: DataFrame, path: str) -> None:
-    """Within a file the rows lie by area, so an area filter skips most row groups.
+def _write(table: DataFrame, path: str, run: str) -> None:
+    """A run's years and their rollup.
 
-    The order also is the one the partitioned write needs anyway.
+    Within a file the rows lie by area, so an area filter skips most row groups;
+    the order also is the one the partitioned write needs anyway. The rollup is made
+    from what was written: a scan of few columns that folds on the map side.
     """
-    (
-        table.sortWithinPartitions("survey_year", "catch_area", "sample_date")
-        .write.partitionBy("survey_year")
-        .parquet(path)
+    spark, data = table.sparkSession, f"{path}/data/run={run}"
+    order = ("survey_year", "catch_area", "sample_date")
+    table.sortWithinPartitions(*order).write.partitionBy("survey_year").parquet(data)
+    years = {year: run for year in _years_of(spark, path, run)}
+    rolled = rollup(scan_folders(spark, path, years, STORE)).select(*ROLLUP.fieldNames())
+    rolled.sortWithinPartitions(*order).write.partitionBy("survey_year").parquet(
+        f"{path}/rollup/run={run}"
     )
 
 
+def _years_of(spark: SparkSession, path: str, run: str) -> tuple[str, ...]:
+    """Survey years of a run's folders."""
+    names = folders(spark, f"{path}/data/run={run}/survey_year=*")
+    return tuple(name.partition("=")[2] for name in names)
+
+
 def stage_years(records: DataFrame, path: str, base: Version) -> Staged:
     """Writes the survey years present in ``records`` where they will stay.
 
@@ -81,20 +99,19 @@ def stage_years(records: DataFrame, path: str, base: Version) -> Staged:
     """
     run = new_run()
     table = with_survey_year(records).select(*STORE.fieldNames())
-    _write(table.hint("rebalance", "survey_year"), f"{path}/data/run={run}")
+    _write(table.hint("rebalance", "survey_year"), path, run)
     return staged_years(records.sparkSession, path, run, base.number)
 
 
 def staged_years(spark: SparkSession, path: str, run: str, base: int) -> Staged:
     """What a run has staged, from its folders."""
-    names = folders(spark, f"{path}/data/run={run}/survey_year=*")
-    return Staged(run, tuple(name.partition("=")[2] for name in names), base)
+    return Staged(run, _years_of(spark, path, run), base)
 
 
 def copy_years(table: DataFrame, path: str) -> str:
     """Copies a table into a folder of its own; moves no row between tasks."""
     run = new_run()
-    _write(table, f"{path}/data/run={run}")
+    _write(table, path, run)
     return run
 
 
