@@ -70,6 +70,30 @@ def test_part_files_with_another_header_are_refused(spark, tmp_path):
         scan(spark, tmp_path).collect()
 
 
+def test_many_files_are_one_read(spark, tmp_path):
+    """Whatever the number of files and headers."""
+    for k in range(40):
+        text = f'{HEAD}\n"Apr {k}, 2013","R\n{k}",A,1,2,3,4\n' if k % 2 else f'Coho,extra,Sample date,Coho\n9,"x,y",d{k},8\n'
+        land(tmp_path, f"f{k}_sample_date={k}.csv", text)
+    df = scan(spark, tmp_path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    rows = {r.batch_no: r for r in df.collect()}
+    assert len(rows) == 40
+    assert rows[3]["Ramp/site"] == "R\n3" and rows[3]["Coho"] == "4" and rows[3]["Anglers"] == "2"
+    # A name that occurs twice is not bound, as in Spark's own reader.
+    assert rows[4]["Sample date"] == "d4" and rows[4]["Coho"] is None and rows[4]["Anglers"] is None
+
+
+def test_headers_with_line_breaks_and_blank_lines(spark, tmp_path):
+    land(tmp_path / "a", "sample_date=1.csv", '"Sample\n date",Coho\n"a\nb",1\n')
+    land(tmp_path / "a", "sample_date=2.csv", "\n\nANGLERS,coho\n5,2\n\n6\n")
+    land(tmp_path / "b", "sample_date=2.csv", "\n\nANGLERS,coho\n5,2\n\n6\n7,8,9\n")
+    assert sorted(r["Coho"] or "" for r in scan(spark, tmp_path / "a").collect()) == ["", "1", "2"]
+    got = [(r["Anglers"], r["Coho"]) for r in scan(spark, tmp_path / "b").orderBy("seq").collect()]
+    assert got == [("5", "2"), ("6", None), ("7", "8")]
+
+
 def test_nothing_landed(spark, tmp_path):
     assert scan(spark, tmp_path / "none").count() == 0
 

@@ -4,6 +4,7 @@ A batch is a file or a folder of part files whose path carries its number as
 ``batch_no=3`` or ``sample_date=3``. Part files are read in name order.
 """
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidetally.schema import HEADERS
+from tidetally.session import keep
 from tidetally.sources import quoted_csv
 
 _NUMBER = r"(?:batch_no|sample_date)=(\d+)"
@@ -101,20 +103,92 @@ def read_quoted_batch(spark: SparkSession, batch_no: int, root: str) -> DataFram
     return rows.select(F.lit(batch_no).alias("batch_no"), "part", "seq", *(f"`{c}`" for c in columns))
 
 
+def _headers(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, root, header, names): the first line of each file, as text and as its fields."""
+    path = F.col("_metadata.file_path")
+    heads = (
+        spark.read.text(roots)
+        .select(
+            path.alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("place"),
+            "value",
+        )
+        .where("start = 0 AND length(trim(value)) > 0")
+        .groupBy("path")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    heads = keep(heads.withColumn("root", F.regexp_extract("path", _ROOT, 1)), "headers")
+    width = heads.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(",")))))
+    width = (width.first()[0] or 0) + 1
+    fields = ", ".join(f"c{k} string" for k in range(width))
+    row = F.from_csv("header", fields, {"escape": '"'})
+    names = F.array(*(F.lower(row[f"c{k}"]) for k in range(width)))
+    return heads.withColumn("names", names)
+
+
+def read_files(spark: SparkSession, roots: list[str]) -> DataFrame | None:
+    """Files of any number of batches and headers by one read, the record's columns as text.
+
+    Fields are read by position; each file's own header, joined to its rows, says
+    which position holds which column. A name that a header has twice is not bound.
+    None if a header has a line break.
+    """
+    heads = _headers(spark, roots)
+    quotes = F.length("header") - F.length(F.replace("header", F.lit('"')))
+    if not heads.where(quotes % 2 == 1).isEmpty():
+        return None
+    if all(re.match(_ROOT, root)[1] == root for root in roots):
+        other = heads.groupBy("root").agg(F.min("names").alias("a"), F.max("names").alias("b"))
+        unlike = other.where("a <> b").first()
+        if unlike:
+            raise ValueError(f"the part files of {unlike.root} do not have the same header")
+    places = [
+        F.when(F.size(F.expr(f"filter(names, n -> n = '{name}')")) == 1, F.array_position("names", name) - 1)
+        for name in map(str.lower, HEADERS)
+    ]
+    bound = heads.select("path", F.size("names").alias("width"), F.array(*places).alias("places"))
+    width = bound.agg(F.max("width")).first()[0] or 1
+    fields = [f"c{k}" for k in range(width)]
+    rows = (
+        spark.read.schema(", ".join(f"{name} string" for name in fields))
+        .options(**quoted_csv.OPTIONS | {"enforceSchema": "true"})
+        .option("multiLine", "true")
+        .csv(roots)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("file"),
+            F.monotonically_increasing_id().alias("seq"),
+            F.array(*fields).alias("fields"),
+        )
+    )
+    return rows.join(bound, "path").select(
+        F.regexp_extract("path", _NUMBER, 1).cast("int").alias("batch_no"),
+        F.concat("file", F.lit("@" + "0" * 19)).alias("part"),
+        "seq",
+        *(F.get("fields", F.get("places", F.lit(k)).cast("int")).alias(h) for k, h in enumerate(HEADERS)),
+    )
+
+
 def scan_csv_batches(
     spark: SparkSession, manifest: DataFrame, split_over: int = SPLIT_OVER
 ) -> DataFrame:
     """All landed batches of the manifest as one frame of text columns.
 
-    There is one read per batch because columns are bound by that batch's own
-    header. A file over ``split_over`` bytes is read in splits, also one with line
-    breaks inside quotes; ``part`` and ``seq`` give the file order either way.
+    Columns are bound by each batch's own header. All batches without a file over
+    ``split_over`` bytes are read at once; the others batch by batch and in splits,
+    also files with line breaks inside quotes. ``part`` and ``seq`` give the file
+    order either way.
     """
-    frames = []
-    for batch in sorted(manifest.collect(), key=lambda row: (row.batch_no, row.root)):
-        if not batch.bytes:
-            continue
+    batches = sorted(manifest.where("bytes > 0").collect(), key=lambda row: (row.batch_no, row.root))
+    small = [batch.root for batch in batches if batch.largest <= split_over]
+    frames = [read_files(spark, small)] if small else []
+    at_once = bool(frames) and frames[0] is not None
+    frames = frames if at_once else []
+    for batch in batches:
         split = batch.largest > split_over
+        if not split and at_once:
+            continue
         if split and has_quoted_newlines(spark, batch.root):
             frame = read_quoted_batch(spark, batch.batch_no, batch.root)
         else:
