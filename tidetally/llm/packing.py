@@ -1,17 +1,21 @@
 """Best-fit packing: pattern packing by non-negative least squares.
 
-Documents become pieces of at most ``capacity`` tokens. Their lengths, rounded
-up to a grid, form a histogram of at most ``capacity / grid`` bins, the only
-thing the driver sees. Patterns of up to three lengths that fill a sequence are
-fitted to it, the repeat counts rounded down, and what is left is packed by best
-fit, whole bins at a time. The result is a list of patterns with counts; Spark
-then numbers the pieces of each bin and joins number to pattern.
+Documents become pieces of at most ``capacity`` tokens. Their lengths form a
+histogram of at most ``capacity`` bins, the only thing the driver sees. Patterns
+of up to three lengths that fill a sequence, listed on a grid, are fitted to it
+and their repeat counts rounded down. A pattern takes the longest pieces of its
+grid cells, by exact length, and one that fills what the others leave to the
+token; what is left in the end is packed by best fit on exact lengths, whole bins
+at a time. The result is a list of patterns with counts, at most about one
+for each length; Spark then numbers the pieces of each length and joins number
+to pattern.
 
 Rows: a null text counts as empty (one piece holding the closing id); repeated
 rows and null ids are packed like any other; an empty table gives no rows;
 further columns are ignored.
 """
 
+import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ from tidetally.session import keep
 CAPACITY = 2048
 GRID = 8
 CLOSING_ID = 0
+#: Shares of the fitted repeat counts that are tried.
+SHARES = (1, 0.75, 0.5, 0.25, 0)
 
 PIECES = pa.schema(
     [
@@ -102,54 +108,119 @@ def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_patterns(histogram: dict[int, int], bins: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns (bin to how often) with repeat counts that use up the histogram exactly."""
-    left = Counter({b: n for b, n in histogram.items() if n > 0})
-    if not left:
+def _grid_patterns(histogram: Counter, capacity: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of grid cells with their fitted repeat counts, the most frequent first."""
+    bins = capacity // grid
+    cells: Counter = Counter()
+    for length, n in histogram.items():
+        if -(-length // grid) < bins:  # full sequences need no partner
+            cells[-(-length // grid)] += n
+    patterns = [p for p in full_patterns(bins) if all(c in cells for c in p)]
+    if not patterns:
         return []
-    plan: list[tuple[dict[int, int], int]] = []
+    rows = sorted(cells)
+    at = {c: i for i, c in enumerate(rows)}
+    a = np.zeros((len(rows), len(patterns)))
+    for j, p in enumerate(patterns):
+        for c in p:
+            a[at[c], j] += 1
+    counts = least_squares(a, np.array([cells[c] for c in rows], float))
+    order = np.argsort(-counts, kind="stable")
+    return [(patterns[j], int(counts[j])) for j in order if counts[j] >= 1]
+
+
+def best_fit(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, the longest first, for all pieces of a length and all sequences alike at a time.
+
+    A piece goes where it leaves the least room. That is again the sequence that
+    took the one before, while another fits.
+    """
+    rooms: list[int] = []
+    alike: dict[int, list[tuple[Counter, int]]] = {}
+
+    def put(room: int, pattern: Counter, count: int) -> None:
+        if room not in alike:
+            alike[room] = []
+            bisect.insort(rooms, room)
+        alike[room].append((pattern, count))
+
+    for b in sorted(left, reverse=True):
+        n = left[b]
+        while n:
+            at = bisect.bisect_left(rooms, b)
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, count = alike[room].pop()
+                if not alike[room]:
+                    del alike[rooms.pop(at)]
+            else:
+                room, pattern, count = capacity, Counter(), -(-n // (capacity // b))
+            each = room // b
+            full = min(count, n // each)
+            if full:
+                put(room - each * b, pattern + Counter({b: each}), full)
+                n, count = n - full * each, count - full
+            if count and n:  # fewer are left than one sequence takes
+                put(room - n * b, pattern + Counter({b: n}), 1)
+                n, count = 0, count - 1
+            if count:
+                put(room, pattern, count)
+    return [(dict(pattern), count) for groups in alike.values() for pattern, count in groups]
+
+
+def fit_patterns(
+    histogram: dict[int, int], capacity: int, grid: int = GRID
+) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length to how often) with repeat counts that use up the histogram exactly.
 
-    def use(pattern: Counter, times: int) -> None:
-        times = min(times, *(left[b] // n for b, n in pattern.items()))
-        if times > 0:
+    Of several ways to round the fitted counts, from all the way to the next whole
+    number down to nothing, the one that needs the fewest sequences is taken.
+    """
+    left = Counter({b: n for b, n in histogram.items() if n > 0})
+    fitted = _grid_patterns(left, capacity, grid) if left else []
+    floor = -(-sum(b * n for b, n in left.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] | None = None
+    for share in SHARES:
+        plan = _packed(left.copy(), [(c, int(share * n)) for c, n in fitted], capacity, grid)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) == floor:
+            break
+    return best
+
+
+def _packed(
+    left: Counter, fitted: list[tuple[tuple[int, ...], int]], capacity: int, grid: int
+) -> list[tuple[dict[int, int], int]]:
+    """The fitted patterns as far as exact lengths fill them, and best fit for what is left."""
+    plan: list[tuple[dict[int, int], int]] = []
+    for cells, count in fitted:
+        while count > 0:
+            # The longest of each cell; the last place goes to what fills the rest, in any cell.
+            pattern: Counter = Counter()
+            for cell in sorted(cells, reverse=True)[: max(1, len(cells) - 1)]:
+                inside = (b for b in range(cell * grid, (cell - 1) * grid, -1) if left[b] > pattern[b])
+                pattern[next(inside, 0)] += 1
+            room = capacity - sum(b * n for b, n in pattern.items())
+            if room:
+                pattern[room] += 1
+            if any(left[b] < n for b, n in pattern.items()):  # used up, or it would leave room
+                break
+            times = min(count, *(left[b] // n for b, n in pattern.items()))
             plan.append((dict(pattern), times))
+            count -= times
             for b, n in pattern.items():
                 left[b] -= n * times
                 if not left[b]:
                     del left[b]
-
-    use(Counter([bins]), left[bins])  # full pieces need no partner
-    patterns = [p for p in full_patterns(bins) if all(b in left for b in p)]
-    if patterns and left:
-        rows = sorted(left)
-        at = {b: i for i, b in enumerate(rows)}
-        a = np.zeros((len(rows), len(patterns)))
-        for j, p in enumerate(patterns):
-            for b in p:
-                a[at[b], j] += 1
-        counts = least_squares(a, np.array([left[b] for b in rows], float))
-        for j in np.argsort(-counts, kind="stable"):
-            if counts[j] < 1:
-                break
-            if all(b in left for b in patterns[j]):
-                use(Counter(patterns[j]), int(counts[j]))
-    while left:  # the rest by best fit: the longest first, each time the longest that still fits
-        pattern: Counter = Counter()
-        room = bins
-        while fits := [b for b in left if b <= room and left[b] > pattern[b]]:
-            b = max(fits)
-            pattern[b] += 1
-            room -= b
-        use(pattern, min(left[b] // n for b, n in pattern.items()))
-    return plan
+    return plan + best_fit(left, capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of 1 to ``capacity``."""
     spark = pieces.sparkSession
-    bins = capacity // grid
     keyed = keep(
-        pieces.withColumn("bin", F.ceil(F.col("length") / grid).cast("int")).withColumn(
+        pieces.withColumn("bin", F.col("length").cast("int")).withColumn(
             "shuffled", F.xxhash64("doc_id", "piece", F.lit(7))
         ),
         "pieces",
@@ -161,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataF
     cuts = []
     taken: Counter = Counter()
     first = 0
-    for pattern, times in fit_patterns(histogram, bins):
+    for pattern, times in fit_patterns(histogram, capacity, grid):
         for b, n in pattern.items():
             cuts.append((b, taken[b], taken[b] + n * times, n, first))
             taken[b] += n * times
@@ -179,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataF
         "one",
         "number",
     )
-    # At most a few rows for each of capacity / grid bins.
+    # At most about one pattern, of a few lengths, for each of ``capacity`` lengths.
     placed = numbered.join(
         F.broadcast(cut_rows),
         (F.col("bin") == F.col("cut_bin"))
