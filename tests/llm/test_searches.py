@@ -12,6 +12,8 @@ EDGE = [
     *[(i, [1.0, 2.0, float(i % 3)]) for i in range(0, 90)],  # many ties and copies
     (100, [-1.0, 0.5, 0.25]),
     (100, [3.0, 0.5, 0.25]),
+    (100, [3.0, 0.5, 0.25]),
+    *[(7, [5.0, 2.0, float(i)]) for i in range(30)],  # one id with many vectors
     (101, None),
     (102, [1.0, None, 2.0]),
     (103, [1.0, NAN, 2.0]),
@@ -30,19 +32,21 @@ def edge(spark):
 
 
 def plain(rows, every, k, measure, zero):
-    """All products in order; of rows with one id the smallest vector."""
-    own = {}
-    for i, v in rows:
-        if i is None or v is None or not all(x is not None and np.isfinite(x) for x in v):
-            continue
-        if any(v) or zero:
-            own[i] = min(own.get(i, v), v)
+    """All products in order; an id counts by its best row."""
+    rows = [
+        (i, v)
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (any(v) or zero)
+    ]
     out = {}
-    for i, q in own.items():
+    for i, q in rows:
         if i % every == 0:
-            near = [(-measure(q, c), j) for j, c in own.items() if j != i and len(c) == len(q)]
-            out[i] = [(j, -s) for s, j in sorted(near)[:k]]
-    return {i: x for i, x in out.items() if x}
+            scores = out.setdefault(i, {})
+            for j, c in rows:
+                if j != i and len(c) == len(q):
+                    scores[j] = max(scores.get(j, measure(q, c)), measure(q, c))
+    best = {i: sorted((-s, j) for j, s in scores.items())[:k] for i, scores in out.items()}
+    return {i: [(j, -s) for s, j in near] for i, near in best.items() if near}
 
 
 def grouped(rows):
@@ -107,8 +111,7 @@ def test_recall(spark, sf):
 def test_recall_unequal_norms():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 24)) * rng.lognormal(0, 0.5, (3000, 1))
-    graph = hnsw.build(hnsw.equal_norms(x), 1)
-    entry = int(np.flatnonzero((graph[-1] >= 0).any(axis=1))[0]) if (graph[-1] >= 0).any() else 0
+    graph, entry = hnsw.build(hnsw.equal_norms(x), 1)
     q = rng.normal(size=(100, 24))
     found = hnsw.search(hnsw.equal_norms(x), graph, entry, q, hnsw.SEARCH_WIDTH)[:, :20]
     exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
@@ -120,3 +123,30 @@ def test_hnsw_edge_rows(spark):
     want = plain(EDGE, 20, 20, lambda q, c: float(np.dot(q, c)), zero=False)
     assert got == want
     assert hnsw.nearest(edge(spark).limit(0), F.lit(True)).collect() == []
+
+
+def test_recall_over_merged_shards(spark):
+    """Many small shards, each of which finds its own part of the nearest."""
+    path = "/root/testdata/sf0.1"
+    table = registry.table(spark, path, "embeddings")
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    shard = len(rows) // 12
+    got = grouped(hnsw.nearest(table, F.col("vec_id") % 20 == 0, shard=shard).collect())
+    found = wanted = 0
+    for q, own in got.items():
+        order = [i for i in np.lexsort((ids, -(x @ x[ids == q][0]))) if ids[i] != q][:20]
+        found += len({ids[i] for i in order} & {i for i, _ in own})
+        wanted += 20
+    assert found / wanted >= 0.95
+    _, graphs, number = hnsw.index(table, shard)
+    assert number >= 12 and graphs.count() == number
+
+
+def test_entry_is_in_the_top_layer():
+    rng = np.random.default_rng(9)
+    for seed in range(6):
+        x = hnsw.equal_norms(rng.normal(size=(200 + 40 * seed, 5)))
+        layers, entry = hnsw.build(x, seed)
+        used = [set(np.flatnonzero((layer >= 0).any(axis=1))) for layer in layers]
+        assert all(entry in u for u in used if u)

@@ -26,12 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidetally.llm.batches import record
-from tidetally.llm.vectors import against_queries, best, packed, rows_of, unpack, usable
+from tidetally.llm.vectors import (
+    against_queries,
+    best,
+    distinct_best,
+    packed,
+    rows_of,
+    unpack,
+    usable,
+)
 from tidetally.session import keep
 
 SCALE = 1024
 TOP = 10
 BLOCK = 8192
+#: Tables of few rows are cut finer, into about so many blocks.
+LEAST_BLOCKS = 16
 #: Segments of a vector at each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 #: Queries worked on at a time within a block.
@@ -75,12 +85,13 @@ def top_of_block(
         for i, name in enumerate(names):
             tried = probe[i][coarse[i, probe[i]] > -np.inf]
             exact = products(some[i : i + 1], x[tried])[0]
-            floor = np.sort(exact)[-k] if len(exact) >= k else -np.inf
+            leading = distinct_best(ids[tried], exact, k)
+            floor = exact[leading[-1]] if len(leading) >= k else -np.inf
             alive = np.flatnonzero((coarse[i] >= floor) & (coarse[i] > -np.inf))
             for mine, theirs in zip(own[1:], stats[1:], strict=True):
                 alive = alive[theirs[alive] @ mine[i] + extra[i] >= floor]
             exact = products(some[i : i + 1], x[alive])[0]
-            order = np.lexsort((ids[alive], -exact))[:k]
+            order = distinct_best(ids[alive], exact, k)
             yield int(name), ids[alive][order], exact[order]
 
 
@@ -113,12 +124,13 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = TOP, scale: int = SCAL
                 scores.append(score)
             yield record(FOUND, *(np.concatenate(c) for c in (names, others, scores)))
 
-    blocks, _ = packed(rows, rows.count(), BLOCK)
+    count = rows.count()
+    blocks, number = packed(rows, count, max(1, min(BLOCK, -(-count // LEAST_BLOCKS))))
     described = keep(
         blocks.mapInArrow(
             describe, "block int, dim int, ids binary, numbers binary, stats array<binary>"
         ),
         "segments",
     )
-    paired = against_queries(described, queries, queries.count())
+    paired = against_queries(described, number, queries, queries.count())
     return best(paired.mapInArrow(search, "query_id long, vec_id long, score long"), k)

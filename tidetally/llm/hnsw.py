@@ -25,7 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidetally.llm.batches import record
-from tidetally.llm.vectors import against_queries, best, packed, rows_of, unpack, usable
+from tidetally.llm.vectors import (
+    against_queries,
+    best,
+    distinct_best,
+    packed,
+    rows_of,
+    unpack,
+    usable,
+)
 from tidetally.session import keep
 
 TOP = 20
@@ -138,8 +146,11 @@ def equal_norms(x: np.ndarray) -> np.ndarray:
     return np.vstack([np.column_stack([x, extra]), np.zeros(x.shape[1] + 1)]).astype(np.float32)
 
 
-def build(x: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Layers, lowest first: neighbours of each node (-1: free). ``x`` has the row for -1."""
+def build(x: np.ndarray, seed: int) -> tuple[list[np.ndarray], int]:
+    """(layers, entry): neighbours of each node, lowest layer first (-1: free), and where to begin.
+
+    ``x`` has the row for -1.
+    """
     n = len(x) - 1
     rng = np.random.default_rng(seed)
     levels = np.minimum(np.floor(rng.exponential(1 / np.log(LINKS[1]), n)), 8).astype(int)
@@ -172,7 +183,7 @@ def build(x: np.ndarray, seed: int) -> list[np.ndarray]:
                 layers[k][sources, : LINKS[1]] = picked
                 link_back(x, layers[k], sources, picked)
         done += len(batch)
-    return layers
+    return layers, int(order[0])
 
 
 def search(
@@ -186,10 +197,10 @@ def search(
     return search_layer(x, layers[0], q, start, width)[0]
 
 
-def index(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(rows that take part, one graph a shard): every row is in one of the graphs."""
+def index(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame, int]:
+    """(rows that take part, one graph a shard, shards): every row is in one of the graphs."""
     rows = keep(usable(embeddings, zero=False), "vectors")
-    blocks, _ = packed(rows, rows.count(), shard)
+    blocks, number = packed(rows, rows.count(), shard)
 
     def graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +208,8 @@ def index(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFra
             for row in rows_of([batch]):
                 _, numbers = unpack(row["ids"], row["numbers"])
                 distinct, node = np.unique(numbers, axis=0, return_inverse=True)
-                layers = build(equal_norms(distinct), row["block"])
-                used = [np.flatnonzero((layer >= 0).any(axis=1)) for layer in layers]
-                entries.append(int(used[-1][0]) if len(used[-1]) else 0)
+                layers, entry = build(equal_norms(distinct), row["block"])
+                entries.append(entry)
                 flat.append([layer.astype("<i4").tobytes() for layer in layers])
                 nodes.append(node.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -216,13 +226,13 @@ def index(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFra
         graph,
         "block int, dim int, ids binary, numbers binary, nodes binary, layers array<binary>, entry int",
     )
-    return rows, keep(graphs, "graphs")
+    return rows, keep(graphs, "graphs"), number
 
 
 def search_graphs(
-    graphs: DataFrame, queries: DataFrame, k: int = TOP, width: int = SEARCH_WIDTH
+    graphs: DataFrame, number: int, queries: DataFrame, k: int = TOP, width: int = SEARCH_WIDTH
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query."""
+    """(query_id, rank, vec_id, score): the k nearest found for each query in ``number`` shards."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -235,6 +245,8 @@ def search_graphs(
             ]
             # Members of each node, by id: the first k + 1 hold any k but the query's own.
             order = np.lexsort((ids, node))
+            repeat = (np.diff(ids[order]) == 0) & (np.diff(node[order]) == 0)
+            order = order[np.concatenate([[True], ~repeat])]
             begins = np.searchsorted(node[order], np.arange(len(distinct) + 1))
             x = equal_norms(distinct)
             q_ids, q = unpack(row["q_ids"], row["q_numbers"])
@@ -249,17 +261,17 @@ def search_graphs(
                     )
                     members = members[ids[members] != name]
                     product = numbers[members] @ vector
-                    top = np.lexsort((ids[members], -product))[:k]
+                    top = distinct_best(ids[members], product, k)
                     names.append(np.full(len(top), name))
                     others.append(ids[members][top])
                     scores.append(product[top])
             yield record(FOUND, *(np.concatenate(c) for c in (names, others, scores)))
 
-    paired = against_queries(graphs, queries, queries.count())
+    paired = against_queries(graphs, number, queries, queries.count())
     return best(paired.mapInArrow(find, "query_id long, vec_id long, score double"), k)
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = TOP) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = TOP, shard: int = SHARD) -> DataFrame:
     """Indexes all rows and searches for those that ``is_query`` names."""
-    rows, graphs = index(embeddings)
-    return search_graphs(graphs, rows.where(is_query), k)
+    rows, graphs, number = index(embeddings, shard)
+    return search_graphs(graphs, number, rows.where(is_query), k)

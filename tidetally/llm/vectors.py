@@ -20,7 +20,8 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     """(vec_id, embedding, dim) of the vectors that take part.
 
     Null ids and vectors, null, NaN and infinite components do not, nor, unless
-    ``zero``, vectors of zeros. Of rows that share an id the smallest vector does.
+    ``zero``, vectors of zeros. Rows that share an id all do: as candidates their id
+    counts by its best row, as queries by the best of theirs.
     """
     finite = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -29,15 +30,14 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>")).where(good)
     if not zero:
         rows = rows.where(F.exists("embedding", lambda x: x != 0))
-    return (
-        rows.groupBy("vec_id")
-        .agg(F.min("embedding").alias("embedding"))
-        .withColumn("dim", F.size("embedding"))
-    )
+    return rows.withColumn("dim", F.size("embedding"))
 
 
 def packed(rows: DataFrame, count: int, size: int) -> tuple[DataFrame, int]:
-    """(blocks, their number): about ``size`` rows each, of one dimension, as binary columns."""
+    """(blocks, their number): about ``size`` rows each, of one dimension, as binary columns.
+
+    All rows of an id lie in one block.
+    """
     blocks = max(1, -(-count // size))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -65,22 +65,36 @@ def unpack(ids: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
     return names, np.frombuffer(numbers, "<f8").reshape(len(names), -1)
 
 
-def against_queries(blocks: DataFrame, queries: DataFrame, count: int) -> DataFrame:
-    """Each block with each block of queries (q_ids, q_numbers) of its dimension."""
-    query_blocks, number = packed(queries, count, QUERY_BLOCK)
+def against_queries(blocks: DataFrame, number: int, queries: DataFrame, count: int) -> DataFrame:
+    """Each of ``number`` blocks with each block of queries (q_ids, q_numbers) of its dimension.
+
+    The queries, which are few, are copied to the blocks. Both are dealt to a stated
+    number of tasks, which adaptive execution does not merge by bytes.
+    """
+    query_blocks, _ = packed(queries, count, QUERY_BLOCK)
+    tile = F.col("dim").cast("long") * number
     asked = query_blocks.select(
-        F.col("block").alias("q_block"),
-        "dim",
-        F.col("ids").alias("q_ids"),
-        F.col("numbers").alias("q_numbers"),
-    )
-    return blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(
-        asked, ["q_block", "dim"]
+        tile.alias("first_tile"), F.col("ids").alias("q_ids"), F.col("numbers").alias("q_numbers")
+    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    asked = asked.select((F.col("first_tile") + F.col("part")).alias("tile"), "q_ids", "q_numbers")
+    tasks = 2 * number
+    return (
+        blocks.withColumn("tile", tile + F.col("block"))
+        .repartition(tasks, "tile")
+        .join(asked.repartition(tasks, "tile"), "tile")
     )
 
 
+def distinct_best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best ids, each by its best row: highest score, then smallest id."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query: highest score, then smallest vec_id."""
+    """The k best candidates of each query: highest score, then smallest vec_id."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
