@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from tidetally.llm import compression_quality as quality
-from tidetally.llm import registry, unigram_counts
+from tidetally.llm import batches, registry, unigram_counts
 
 SPACE = "[ \t\n\r\x0b\x0c\x1c-\x1f\x85   -     　]+"
 
@@ -98,3 +99,29 @@ def test_quality_of_texts_that_open_alike(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
     held = quality.quality_scores(docs, labels).where("held_out").collect()
     assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held) >= 0.9 * len(held)
+
+
+def test_quality_of_very_long_labelled_texts(spark):
+    """Twenty labelled texts of 5 MB: whole texts are learnt from, a bounded share of samples is sent."""
+    draw = random.Random(3)
+    good = [" ".join(draw.choice(["river", "stone", "cloud", "winter"]) + draw.choice(["s", "", "ly"]) for _ in range(9000)) for _ in range(10)]
+    bad = ["".join(draw.choice("qxz$%#@ ") for _ in range(60_000)) for _ in range(10)]
+    rows = [(i, t * (5_000_000 // len(t))) for i, t in enumerate([*good, *bad])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
+    both = quality.sample(docs, labels, 100).where("first_half")
+    sent = quality.training_samples(both, {0: 0.02, 1: 0.02})
+    size, n = sent.agg(F.sum(F.octet_length("part")), F.count("*")).first()
+    assert 0 < size < 0.1 * 20 * 5_000_000 and n > 20
+    scored = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    held = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all((scored[i] > 0.5) == (i < 10) for i in held)
+
+
+def test_slices_go_by_bytes():
+    texts = ["x" * n for n in (10, 3_000_000, 3_000_000, 9_000_000, 1, 1)] + ["y"] * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    pieces = list(batches.slices([batch]))
+    assert [t for p in pieces for t in batches.column(p, "text")] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= batches.PIECE_BYTES for p in pieces)
+    assert max(p.num_rows for p in pieces) <= 256 and len(pieces) < 12

@@ -5,11 +5,22 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 
 
+#: Bytes of a piece of a batch, about; a longer row is a piece by itself.
+PIECE_BYTES = 1 << 22
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in short pieces, so that a task holds few texts at a time."""
+    """The batches in short pieces, by rows and bytes, so that a task holds few texts at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        left = [(at, min(rows, batch.num_rows - at)) for at in range(0, batch.num_rows, rows)][::-1]
+        while left:
+            at, count = left.pop()
+            piece = batch.slice(at, count)
+            if count > 1 and piece.nbytes > PIECE_BYTES:
+                half = count // 2
+                left += [(at + half, count - half), (at, half)]
+            else:
+                yield piece
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

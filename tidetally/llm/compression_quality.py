@@ -6,9 +6,11 @@ well the text compresses at all (a text of a few repeated words fits either
 dictionary) and over its length turns it into a probability.
 
 Labels are learnt from a bounded sample: the ``SAMPLE`` labelled rows of each
-class with the smallest hashes; half of them (by hash) train the dictionaries, cut
-into samples of ``SAMPLE_BYTES`` bytes, the other half the curve. Sampled texts
-are learnt from whole, and every text is scored whole.
+class with the smallest hashes. Half of them (by hash) train the dictionaries:
+their whole texts are cut into samples of ``SAMPLE_BYTES`` bytes where they lie,
+and of those a share, by hash, comes to the driver, so that a class takes about
+``TRAIN_BYTES``. The other half train the curve, with a few numbers a text. Every
+text is scored whole.
 
 Rows: null and empty texts get the score of size zero; a text that occurs often
 gets the same score each time; rows whose label or id is null are not learnt
@@ -21,11 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidetally.llm.batches import column, record, slices
+from tidetally.session import keep
 
 #: Labelled rows learnt from, of each class, at most.
 SAMPLE = 4000
@@ -34,6 +38,9 @@ SAMPLE = 4000
 SAMPLE_BYTES = 2000
 DICTIONARY_BYTES = 110_000
 
+#: Bytes of samples that either dictionary is trained on, about.
+TRAIN_BYTES = 8_000_000
+
 LEVEL = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -51,7 +58,7 @@ def cut(text: str) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
+    """A trained dictionary, or the samples themselves, as they come, where training fails."""
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 8), samples).as_bytes()
@@ -105,8 +112,8 @@ class Curve:
         return self._logistic(self._design(terms(x)) @ self.weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[DataFrame]:
-    """The sampled rows of either class: text, quality, first_half; at most ``size`` each."""
+def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """The sampled rows: text, quality, first_half, place; of at most ``size`` ids of either class."""
     usable = labels.select("doc_id", "quality").where(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()
     )
@@ -115,51 +122,88 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[DataFrame]:
         usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(size) for q in (0, 1)
     ]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    ranked = rows.select(
+    return rows.select(
         F.coalesce("text", F.lit("")).alias("text"),
         "quality",
         (F.xxhash64("doc_id", F.lit(4)) % 2 == 0).alias("first_half"),
         order.alias("place"),
     )
-    # Ids that repeat in the documents must not lengthen the sample.
-    return [ranked.where(F.col("quality") == q).orderBy("place", "text").limit(size) for q in (0, 1)]
+
+
+def training_samples(rows: DataFrame, shares: dict[int, float]) -> DataFrame:
+    """(quality, hash, part): samples of whole texts, the share of each class with the smallest hashes."""
+    schema = pa.schema([("quality", pa.int32()), ("hash", pa.int64()), ("part", pa.binary())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for text, quality in zip(column(batch, "text"), column(batch, "quality"), strict=True):
+                for part in cut(text):
+                    digest = xxhash.xxh64_intdigest(part) >> 1
+                    if digest < shares[quality] * 2**63:
+                        out.append((quality, digest, part))
+            yield record(schema, *(list(zip(*out, strict=True)) or [[]] * 3))
+
+    return rows.select("text", "quality").mapInArrow(pick, "quality int, hash long, part binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[bytes, bytes, Curve | float]:
     """(good dictionary, bad dictionary, curve); instead of a curve the share of good rows.
 
-    Dictionaries come from one half's whole texts; for the curve the other half's
-    are measured where they are and only the numbers come here.
+    Dictionaries come from one half's texts; for the curve the other half's are
+    measured where they are and only the numbers come here. Ids that repeat in the
+    documents lengthen neither.
     """
-    parts = sample(docs, labels, size)
-    both = parts[0].union(parts[1])
-    trained = both.where("first_half").select("text", "quality")
+    both = sample(docs, labels, size)
+    training = both.where("first_half")
+    counts = {
+        r["quality"]: r
+        for r in training.groupBy("quality")
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        .collect()
+    }
+    shares = {q: min(1.0, TRAIN_BYTES / max(1, r["bytes"])) for q, r in counts.items()}
     samples: dict[int, list[bytes]] = {0: [], 1: []}
-    shown = []
-    for row in trained.orderBy(F.xxhash64("text"), "quality").toLocalIterator():
-        samples[row["quality"]] += cut(row["text"])
-        shown.append(float(row["quality"]))
+    for row in training_samples(training, shares).orderBy("hash", "part", "quality").collect():
+        samples[row["quality"]].append(bytes(row["part"]))
     good, bad = dictionary(samples[1]), dictionary(samples[0])
-    rows = measured(both.where("not first_half"), good, bad).select("quality", "x", "y", "z")
-    numbers = rows.orderBy("quality", "x", "y", "z").collect()
+    rows = measured(both.where("not first_half"), good, bad)
+    numbers = [
+        row
+        for q in (0, 1)
+        for row in rows.where(F.col("quality") == q)
+        .orderBy("place", "x", "y", "z")
+        .limit(size)
+        .select("quality", "x", "y", "z")
+        .collect()
+    ]
     quality = np.array([r["quality"] for r in numbers], float)
     if len(set(quality)) < 2:
-        seen = [*quality, *shown]
-        return good, bad, float(np.mean(seen)) if seen else 0.5
-    return good, bad, Curve(np.array([(r["x"], r["y"], r["z"]) for r in numbers]), quality)
+        shown = {q: r["n"] for q, r in counts.items()}
+        n = len(quality) + sum(shown.values())
+        return good, bad, float((quality.sum() + shown.get(1, 0)) / n) if n else 0.5
+    order = np.lexsort([[r[n] for r in numbers] for n in "zyx"] + [quality])
+    x = np.array([(r["x"], r["y"], r["z"]) for r in numbers])
+    return good, bad, Curve(x[order], quality[order])
 
 
 def measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """Quality and the three measures of each sampled text."""
-    schema = pa.schema([("quality", pa.int32()), *((n, pa.float64()) for n in "xyz")])
+    """Quality and the three measures of each sampled text, with its place in the sample."""
+    schema = pa.schema(
+        [("quality", pa.int32()), ("place", pa.int64()), *((n, pa.float64()) for n in "xyz")]
+    )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = sizer(good), sizer(bad)
         for batch in slices(batches):
             x = [measures(t, *sizes) for t in column(batch, "text")]
-            yield record(schema, column(batch, "quality"), *np.array(x).reshape(-1, 3).T)
+            numbers = np.array(x).reshape(-1, 3).T
+            yield record(schema, column(batch, "quality"), column(batch, "place"), *numbers)
 
-    return rows.select("text", "quality").mapInArrow(measure, "quality int, x double, y double, z double")
+    found = rows.select("text", "quality", "place").mapInArrow(
+        measure, "quality int, place long, x double, y double, z double"
+    )
+    return keep(found, "measures")
 
 
 def rate(batch: pa.RecordBatch, sizes: tuple, curve: Curve | float) -> np.ndarray:

@@ -17,7 +17,7 @@ its own and the last one; repeated rows and null ids are separate documents; an
 empty table gives no rows; further columns are ignored.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetally.llm.running import running_total, spread
@@ -138,8 +138,9 @@ def mix_sources(
     repeats: int = MOST_REPEATS,
     block: int = BLOCK_WORDS,
     seed: int = SEED,
+    row_id: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, takes).
+    """(documents, takes). ``row_id`` is a column that tells all rows apart, if there is one.
 
     Documents: doc_id, row_id (tells equal rows apart), shuffled (id and text
     hashed), size, source_size, target, taken. Takes, the mix itself: row_id,
@@ -151,8 +152,9 @@ def mix_sources(
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("doc_id", "text", F.lit(seed)).alias("shuffled"),
+        (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"),
     )
-    sized = keep(sized.withColumn("row_id", F.monotonically_increasing_id()), "sized")
+    sized = keep(sized, "sized")
     targets = source_targets(sized, share, weights, repeats)
     before = Window.partitionBy(F.lit(0)).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(0))
@@ -240,14 +242,14 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     A document that is taken whole keeps its text; of others the taken words are
     left, with a space between them.
     """
-    documents, takes = mix_sources(docs)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row_id"), whole), "rows")
+    needed = (F.col(f"doc.`{c}`").alias(c) for c in ("doc_id", "source", "text"))
+    documents, takes = mix_sources(rows.select(*needed, "row_id"), row_id=F.col("row_id"))
     of_round = takes.groupBy("row_id", "round").agg(
         F.min("from_word").alias("from_word"), F.sum("words").alias("words")
     )
-    parts = documents.join(of_round, "row_id").select("shuffled", "size", "from_word", "words")
-    keyed = docs.withColumn("shuffled", F.xxhash64("doc_id", "text", F.lit(SEED)))
-    # Equal rows are told apart by their takes.
-    joined = keyed.dropDuplicates(["shuffled"]).select("shuffled", F.struct(*docs.columns).alias("doc"))
+    parts = documents.select("row_id", "size").join(of_round, "row_id")
     some = F.array_join(
         F.slice(
             F.regexp_extract_all(F.col("doc.text"), F.lit(f"({WORD})")),
@@ -257,6 +259,6 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
         " ",
     )
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(some)
-    return joined.join(parts, "shuffled").select(
+    return rows.join(parts, "row_id").select(
         *[text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns]
     )

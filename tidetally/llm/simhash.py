@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidetally.llm.batches import column, record, slices
@@ -209,7 +209,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     A document is told by its id and text; of equal ids the smallest hash stays,
     and a null id only where all are null.
     """
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), whole)
     marked = keep(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     smallest = marked.groupBy("fp").agg(first)
@@ -220,4 +221,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
         .agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )
-    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
+    # Texts are shuffled once: repeats lie together where the join has put them.
+    alike = Window.partitionBy("row").orderBy("row")
+    first_of = rows.join(kept, "row").withColumn("place", F.row_number().over(alike))
+    return first_of.where("place = 1").select(*(F.col(f"doc.`{c}`") for c in docs.columns))
