@@ -19,28 +19,48 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject.
+
+    A null or empty text has the score of no bytes and stays or goes by it; of
+    repeated rows all stay or all go. A null id is never learnt from.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return compression_quality.keep_good(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Null, empty and wordless texts are alike, so one of them stays. Of repeated
+    rows one stays, with the columns it has; a null id stays where there is no other.
+    """
     return simhash.one_of_each(docs, simhash.SHINGLE, simhash.MAX_BITS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another one keeps."""
+    """Documents without the passages that another one keeps.
+
+    All rows stay, also those with null or empty texts, which have no passages
+    (``n_chars`` of a null text is null). Repeated rows do not repeat each other.
+    """
     return _measured(compact_windows.without_repeats(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time words of a document are taken."""
+    """The mix: a row for each time words of a document are taken.
+
+    Null and empty texts have no words and are in no mix. A null source is a
+    source of its own. Repeated rows are documents of their own, each with its source.
+    """
     return _measured(mixing.mixed_texts(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences.
+
+    A null or empty text is a piece of one token. Repeated rows and null ids are
+    packed like any other.
+    """
     return packing.best_fit_packing(docs)
 
 
