@@ -58,8 +58,11 @@ FRAMES_DDL = (
 STRIDE = BLOCK_IDS + int(COUNTS[0])
 
 
-def selectors_of(ids: np.ndarray) -> np.ndarray:
-    """For each place the selector of a word that starts there: the most ids that fit."""
+def selectors_of(ids: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """For each place the selector of a word that starts there: the most ids that fit.
+
+    ``real`` says where there are ids; the zeros behind them only fill words up.
+    """
     widths = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     best = np.full(len(ids), len(COUNTS) - 1, np.uint8)
     widest, count = widths, 1  # the widest of the next ``count`` ids
@@ -68,7 +71,7 @@ def selectors_of(ids: np.ndarray) -> np.ndarray:
         widest = np.maximum(widest[: len(widest) - ahead], widest[ahead:])
         count += ahead
         fits = widest <= WIDTHS[s]
-        if not fits.any():  # then more ids in fewer bits don't fit either
+        if not (fits & real[: len(fits)]).any():  # then more ids in fewer bits don't fit either
             break
         best[: len(fits)][fits] = s
     return best
@@ -85,7 +88,9 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[int], np.ndarray, np.ndarray]:
     padded = np.zeros((blocks + 1, STRIDE), np.uint64)
     padded[:blocks, :BLOCK_IDS] = np.pad(ids, (0, blocks * BLOCK_IDS - n)).reshape(blocks, BLOCK_IDS)
     padded = padded.ravel()
-    best = selectors_of(padded)
+    real = np.zeros((blocks + 1, STRIDE), bool)
+    real[:blocks, :BLOCK_IDS] = np.arange(blocks * BLOCK_IDS).reshape(blocks, BLOCK_IDS) < n
+    best = selectors_of(padded, real.ravel())
     steps = COUNTS[best].tolist()
     starts, offsets = [], []
     for k in range(blocks):

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words, and lower-case runs of letters, that a worker keeps in each of two generations.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 450_000
 KEPT_RUNS = 400_000
 
 #: Longer words are worked out each time they occur.
@@ -26,7 +26,7 @@ LETTERS = re.compile("[a-zß-öø-ÿ]+")
 MARKS = ".,;:!?%&$#*|"
 
 #: White space to Python and not to the library; texts with one are cut at plain spaces only.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACES = re.compile("[ \t\n\r]+")
 
 
@@ -91,7 +91,8 @@ class WordIds(Recent):
         # special tokens, though, are looked for in the text as it is.
         if "<|" not in text and len(text.encode("latin-1", "ignore")) == len(text):
             text = text.lower()
-        words = SPACES.split(text) if SEPARATORS.search(text) else text.split()
+        odd = any(mark in text for mark in SEPARATORS)
+        words = SPACES.split(text) if odd else text.split()
         return b"".join(map(self.__getitem__, words))
 
 
