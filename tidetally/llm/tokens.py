@@ -7,11 +7,12 @@ words it has met; every id comes from the tokenizers library.
 
 import re
 from array import array
-from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
+from tidetally.llm.batches import stage_table
+
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words, and lower-case runs of letters, that a worker keeps in each of two generations.
@@ -96,7 +97,6 @@ class WordIds(Recent):
         return b"".join(map(self.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str | None = None) -> WordIds:
-    """This worker's table of words."""
-    return WordIds(path or public_tokenizers.path(WORD_BPE))
+    """This worker's table of words, kept while its stage runs."""
+    return stage_table(("words", path), lambda: WordIds(path or public_tokenizers.path(WORD_BPE)))
