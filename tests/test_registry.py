@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from tidetally.registry.queries import QUERIES
 from tidetally.registry.sql import SQL
+from tidetally.session import discard, keep
 
 SF_DIR = Path("/root/testdata/sf0.001")
 TYPES = {
@@ -55,3 +56,12 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["section", "key", "measure", "value"]
+
+
+def test_kept_tables_can_be_discarded(spark):
+    table = keep(spark.range(10).toDF("n"), "some")
+    other = keep(table.where("n > 3"), "other")
+    assert Path(table.kept_at).exists()
+    discard(table)
+    assert not Path(table.kept_at).exists() and other.count() == 6
+    discard()

@@ -1,5 +1,6 @@
 """Where intermediate tables go."""
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -38,4 +39,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes kept tables that nothing will read again, and lets finished shuffles go.
+
+    For the middle of a long job: what was built from them is kept itself. Spark
+    removes the shuffle files of a finished plan once the plan is garbage.
+    """
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        folder.getFileSystem(conf).delete(folder, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
