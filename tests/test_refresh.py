@@ -317,3 +317,34 @@ def test_stored_rows_pass_a_filter_before_they_are_shuffled(spark, tmp_path):
     assert key_filter.key_filter(table, KEY, 1 << 25) is None
     loose = records(spark, [{"sample_date": "Apr 1, 2013"}])
     assert key_filter.with_possible(loose, KEY, key_filter.key_filter(loose, KEY, 1), "p").where("p").count() == 1
+
+
+def test_changes_of_a_load_are_not_broadcast(spark, paths):
+    """As Parquet their positions look small, whatever their number."""
+    some = [
+        {"sample_date": "Apr 1, 2013", "ramp_site": f"R{n}", "interviews": 1, "anglers": n}
+        for n in range(50)
+    ]
+    rows = plan.project_record(
+        records(spark, some)
+        .selectExpr(
+            "1 AS batch_no",
+            "'p' AS part",
+            "anglers AS seq",
+            "sample_date AS `Sample date`",
+            "ramp_site AS `Ramp/site`",
+            "interviews AS `# Interviews (Boat or Shore)`",
+            "anglers AS Anglers",
+        )
+    )
+    incoming = store.with_survey_year(rows)
+    stored = store.with_survey_year(records(spark, some[:5]))
+    classified = store.with_survey_year(plan.upsert_classify(rows))
+    state = plan._changed_state(incoming, stored, classified, AT, False)
+    joins = [
+        line
+        for line in state._jdf.queryExecution().sparkPlan().toString().splitlines()
+        if "LeftSemi" in line
+    ]
+    assert joins and not any("Broadcast" in line for line in joins)
+    assert state.count() == 50

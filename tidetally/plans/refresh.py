@@ -110,7 +110,9 @@ def _changed_state(
     years = _years(changes)
     if not years:
         return None
-    rows = incoming.join(changes.select(*POSITION), POSITION, "left_semi")
+    # A merge join by hint: as Parquet the positions are far smaller than as rows, so the
+    # planner takes any number of them for a table to send to the driver.
+    rows = incoming.join(changes.select(*POSITION).hint("merge"), POSITION, "left_semi")
     existing = existing.where(F.col("survey_year").isin(years))
     made = key_filter(changes, KEY, changes.count())
     if made is None:
