@@ -279,3 +279,21 @@ def test_custom_areas(spark, tmp_path):
     assert (row["name"], row.description) == ("Bellingham Bay", "bay")
     assert json.loads(row.geometry)["coordinates"] == [RING]
     assert features.custom_area_names(spark).count() == 8
+
+
+def test_a_copy_sorts_nothing(spark, tmp_path):
+    """Rows lie as they did in the file copied, here not in the table's order."""
+    path, uri, fresh = (str(tmp_path / name) for name in ("store", "snapshots", "fresh"))
+    areas = ["C", "A", "D", "B"]
+    rows = [{"sample_date": "Apr 1, 2013", "catch_area": area} for area in areas]
+    version = store.sink_store(records(spark, rows), path)
+    folder = f"{path}/data/run={version.run}/survey_year=2013"
+    table = store.with_survey_year(records(spark, rows)).select(*store.STORE.fieldNames())
+    table.drop("survey_year").coalesce(1).write.mode("overwrite").parquet(folder)
+    assert snapshots.snapshot_save(spark, path, uri, AT)
+    assert snapshots.snapshot_restore(spark, fresh, uri)
+    for copy in (uri, fresh):
+        run = versions.latest(spark, copy).run
+        found = spark.read.parquet(f"{copy}/data/run={run}/survey_year=2013")
+        assert [row.catch_area for row in found.collect()] == areas
+        assert store.scan_rollup(spark, copy).count() == len(areas)

@@ -4,7 +4,6 @@ A copy is a version of its own at the target. Folders of years never change, so
 years that the copy before it already holds are named again, not copied again.
 """
 
-from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ def snapshot_save(spark: SparkSession, path: str, uri: str | None, at: datetime)
     fresh = {y: run for y, run in table.years.items() if y not in kept}
     run = new_run()
     if fresh:
-        run = copy_years(scan_store(spark, path, replace(table, years=fresh)), uri)
+        run = copy_years(spark, path, fresh, uri)
     commit(
         spark,
         uri,
@@ -61,7 +60,7 @@ def snapshot_restore(
     copy = version or latest(spark, uri)
     if not copy.number:
         return False
-    run = copy_years(scan_snapshot(spark, uri, copy), path) if copy.years else new_run()
+    run = copy_years(spark, uri, copy.years, path) if copy.years else new_run()
     stamp = datetime.now(timezone.utc).isoformat()
     commit(spark, path, Version(1, dict.fromkeys(copy.years, run), run, stamp))
     return True

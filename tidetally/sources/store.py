@@ -67,19 +67,16 @@ def with_survey_year(records: DataFrame) -> DataFrame:
     return records.withColumn("survey_year", survey_year(F.col("sample_date")))
 
 
-def _write(table: DataFrame, path: str, run: str) -> None:
-    """A run's years and their rollup.
+# Within a file the rows lie by area, so an area filter skips most row groups.
+_ORDER = ("survey_year", "catch_area", "sample_date")
 
-    Within a file the rows lie by area, so an area filter skips most row groups;
-    the order also is the one the partitioned write needs anyway. The rollup is made
-    from what was written: a scan of few columns that folds on the map side.
-    """
-    spark, data = table.sparkSession, f"{path}/data/run={run}"
-    order = ("survey_year", "catch_area", "sample_date")
-    table.sortWithinPartitions(*order).write.partitionBy("survey_year").parquet(data)
+
+def _write_rollup(spark: SparkSession, path: str, run: str) -> None:
+    """The rollup of a run's years, from what was written: a scan of few columns that
+    folds on the map side."""
     years = {year: run for year in _years_of(spark, path, run)}
     rolled = rollup(scan_folders(spark, path, years, STORE)).select(*ROLLUP.fieldNames())
-    rolled.sortWithinPartitions(*order).write.partitionBy("survey_year").parquet(
+    rolled.sortWithinPartitions(*_ORDER).write.partitionBy("survey_year").parquet(
         f"{path}/rollup/run={run}"
     )
 
@@ -99,7 +96,11 @@ def stage_years(records: DataFrame, path: str, base: Version) -> Staged:
     """
     run = new_run()
     table = with_survey_year(records).select(*STORE.fieldNames())
-    _write(table.hint("rebalance", "survey_year"), path, run)
+    # The order is the one the partitioned write needs anyway.
+    table.hint("rebalance", "survey_year").sortWithinPartitions(*_ORDER).write.partitionBy(
+        "survey_year"
+    ).parquet(f"{path}/data/run={run}")
+    _write_rollup(records.sparkSession, path, run)
     return staged_years(records.sparkSession, path, run, base.number)
 
 
@@ -108,10 +109,18 @@ def staged_years(spark: SparkSession, path: str, run: str, base: int) -> Staged:
     return Staged(run, _years_of(spark, path, run), base)
 
 
-def copy_years(table: DataFrame, path: str) -> str:
-    """Copies a table into a folder of its own; moves no row between tasks."""
+def copy_years(spark: SparkSession, source: str, years: dict[str, str], path: str) -> str:
+    """Copies the named years into a run of their own; moves no row between tasks.
+
+    A year at a time, as rows of one year need no sort to be written: a task streams its
+    part of the files, which are in order already, and holds none of it, however large
+    the splits are.
+    """
     run = new_run()
-    _write(table, path, run)
+    for year in sorted(years):
+        rows = scan_folders(spark, source, {year: years[year]}, STORE).drop("survey_year")
+        rows.write.parquet(f"{path}/data/run={run}/survey_year={year}")
+    _write_rollup(spark, path, run)
     return run
 
 
