@@ -87,3 +87,18 @@ def test_long_chain(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 500), (601, 600)]
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == {**{i: 0 for i in range(1, 201)}, 601: 600}
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """The planner takes the variants to be as few as the fingerprints, whatever their number."""
+    plans = []
+
+    def keep(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return simhash_keep(df, name)
+
+    simhash_keep = simhash.keep
+    monkeypatch.setattr(simhash, "keep", keep)
+    simhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"))
+    lists = [plan for name, plan in plans if name == "lists"]
+    assert lists and not any("Broadcast" in plan for plan in lists)

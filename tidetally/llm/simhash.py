@@ -162,7 +162,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         if level < len(LEVELS) - 1:
             sizes = listed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
             sizes = sizes.withColumn("long", F.col("n") > LONGEST_LIST).drop("n")
-            listed = keep(listed.join(sizes, "path"), "lists")
+            # A merge join by hint: the planner takes the variants to be as few as the fingerprints
+            # they come from, a table to send to the driver.
+            listed = keep(listed.join(sizes.hint("merge"), "path"), "lists")
             rows, listed = listed.where("long"), listed.where("not long")
         ordered = listed.select("path", "fp", "bit", "first").repartition("path")
         links = ordered.sortWithinPartitions("path").mapInArrow(link, "a long, b long")
