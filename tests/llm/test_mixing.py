@@ -92,3 +92,20 @@ def test_edge_rows(spark):
     check(docs.collect(), mixing.mixed_documents(docs).collect())
     assert mixing.mixed_documents(docs.limit(0)).collect() == []
     assert mixing.mixed_documents(docs.where("doc_id = 1")).first().taken == 0
+
+
+def test_pieces_are_not_broadcast(spark, monkeypatch):
+    """The planner takes the pieces to be as few as the documents, whatever their length."""
+    joins = []
+
+    def keep(df, name):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        joins.extend(line for line in plan.splitlines() if name == "takes" and "Join" in line)
+        return mixing_keep(df, name)
+
+    mixing_keep = mixing.keep
+    monkeypatch.setattr(mixing, "keep", keep)
+    docs = spark.createDataFrame([(1, "s", "a b " * 900), (2, "t", "c d")], "doc_id long, source string, text string")
+    mixing.mix_sources(docs)
+    of_pieces = [line for line in joins if "block#" in line]
+    assert of_pieces and not any("Broadcast" in line for line in of_pieces)

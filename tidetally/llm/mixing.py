@@ -210,8 +210,11 @@ def mix_sources(
     )
     start = F.greatest("begins", F.col("block") * block)
     end = F.least(F.col("begins") + F.col("size"), (F.col("block") + 1) * block, "stop")
+    # A merge join by hint: the planner takes the pieces to be as few as the documents, a table to
+    # send to the driver.
     takes = (
-        pieces.join(slots.select("number", "block", "round", "slot", "stop"), ["number", "block"])
+        pieces.hint("merge")
+        .join(slots.select("number", "block", "round", "slot", "stop"), ["number", "block"])
         .withColumn("words", end - start)
         .where("words > 0")
         .select("row_id", "round", "slot", (start - F.col("begins")).alias("from_word"), "words")
